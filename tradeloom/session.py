@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as Unicode defines it, plus zero-width marks that editors leave at the ends of values.
-SPACE = r"[\s\u0085   -‍    ⁠　﻿]"
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -83,3 +83,19 @@ def or_null(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once for each application; they may not have its folder on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tradeloom-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = shutil.make_archive(os.path.join(folder, "tradeloom"), "zip", os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
