@@ -122,8 +122,11 @@ def features(product_id: str, title: str | None, brand: str | None, description:
 
 def current_attributes(products: DataFrame, versions: DataFrame) -> DataFrame:
     """product_id, canonical_name, brand, description, attributes: those of the version current_version_id names, else of the highest number."""
-    v = versions.select(F.col("id").alias("v_id"), F.col("product_id").alias("v_product"), "version_number", "attributes")
-    p = products.select("id", "canonical_name", "brand", "description", "current_version_id").filter("id is not null")
+    # one partitioning serves the join, the aggregate and the reading of texts after it; a set number keeps the latter parallel
+    spark = products.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    v = versions.select(F.col("id").alias("v_id"), F.col("product_id").alias("v_product"), "version_number", "attributes").repartition(n, "v_product")
+    p = products.select("id", "canonical_name", "brand", "description", "current_version_id").filter("id is not null").repartition(n, "id")
     named = F.coalesce(F.col("v_id") == F.col("current_version_id"), F.lit(False))
     joined = p.join(v, F.col("id") == F.col("v_product"), "left").groupBy("id")
     first = [F.first(c).alias(c) for c in ("canonical_name", "brand", "description")]
@@ -304,14 +307,15 @@ def same_article(products: DataFrame, versions: DataFrame, brand_refs: DataFrame
     family = ["brand", "model", "accessory"]
     distinct = rows.groupBy(*family, *SIGNATURE).agg(F.count("*").alias("n"))
 
-    def variants(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*SIGNATURE], kind="stable")
-        cells = [[None if pd.isna(x) else x for x in pdf[c]] for c in (*SIGNATURE, "n")]
-        pdf["variant"] = pd.array(resolve(list(zip(*cells, strict=True))), dtype="Int64")
-        return pdf.drop(columns="n")
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [resolve([tuple(s[c] for c in (*SIGNATURE, "n")) for s in signatures]) for signatures in pdf["signatures"]]
+            yield pd.DataFrame([(*f, *(s[c] for c in SIGNATURE), v) for *f, signatures, vs in zip(*[pdf[c] for c in family], pdf["signatures"], found, strict=True) for s, v in zip(signatures, vs, strict=True)], columns=[*family, *SIGNATURE, "variant"]).astype({"variant": "Int64", "pack": "Int64"})
 
     schema = "brand string, model string, accessory string, edition string, colour string, pack int, volume double, length double, weight double, power double, variant long"
-    solved = stored(distinct.groupBy(*family).applyInPandas(variants, schema).filter("variant is not null"), "variants")
+    # a family's distinct signatures are few, whatever the number of its listings
+    held = distinct.groupBy(*family).agg(F.array_sort(F.collect_list(F.struct(*SIGNATURE, "n"))).alias("signatures"))
+    solved = stored(held.mapInPandas(variants, schema).filter("variant is not null"), "variants")
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*family, *SIGNATURE)]
     article = F.concat_ws("|", *[F.col(f"r.{c}") for c in family], F.col("s.variant").cast("string"))
     return rows.alias("r").join(solved.alias("s"), on).select("r.product_id", article.alias("article"))
