@@ -43,7 +43,7 @@ EDITION = re.compile(r"(?<![^\W_])(plus|pro|xl|ii)(?![^\W_])", re.I)
 PIECES = {"units", "quantity", "pieces", "pack_size", "stück"}
 NO_BRAND = {"", "none", "nobrand", "unknown", "whitelabel", "oem", "na", "unbranded", "generic", "various"}
 PACK = re.compile(r"\b(?:pack|set) of (\d{1,4})\b|\b(\d{1,4})[ -]?(?:pack|pcs|pieces|pièces|stück|stk)\b|(?<![^\s,|(])(\d{1,3})x(?![^\s,|)])|(?<![^\s,|(])x(\d{1,3})(?![^\s,|)])", re.I)
-ASIDE = re.compile(r"(?:also available in|auch in anderen farben|existe aussi|2026 model)[^.<|]{0,80}", re.I)
+ASIDE = re.compile(r"(?:also available in|auch in anderen farben|existe aussi)[^.<|]{0,80}|\b20\d\d model\b", re.I)
 FACTS = re.compile(r"(?:specification|daten|fiche)\s*:(.{0,70})", re.I)
 _UNIT = "|".join(sorted((re.escape(u) for d in UNITS.values() for u in d if u != "floz"), key=len, reverse=True))
 SIZE = re.compile(rf"(?<![\w.,])(\d+(?:[.,]\d+)?)\s*(?:(fl\.?\s*oz|oz)|({_UNIT}))(?![^\W\d_])", re.I)

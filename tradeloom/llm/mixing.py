@@ -69,8 +69,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     """(selection, shares). selection: doc_id, source, n_tokens, times_used (1 or more). shares: source, target_weight, max_repeats,
     available, budget, epochs, used_tokens, used_texts, share (of all used tokens; 0 for a source without texts).
 
-    A source's used tokens fall short of its budget by less than its largest text: texts are taken in key order as
-    long as their running sum fits. A source that isn't in targets isn't used; a null source never is.
+    Texts are taken in key order as long as their running sum fits; the largest text that fits closes what is left, so a source's
+    used tokens fall short of its budget by less than its largest text, mostly by very little. A source that isn't in targets isn't used; a null source never is.
     """
     sizes = stored(sized_texts(docs, targets, path), "sizes").withColumn("key", sampling_key(seed))
     plan = broadcast_up_to(stored(budgets(sizes, targets, total_tokens), "budgets"), MAX_SOURCES)
@@ -85,7 +85,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     clear = marked.filter("fate <> 0").withColumn("extra", F.greatest("fate", F.lit(0)))
     order = Window.partitionBy("source").orderBy(F.desc("key"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = marked.filter("fate = 0").withColumn("extra", (F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("int"))
-    both = clear.unionByName(edge).withColumn("times_used", F.col("epochs") + F.col("extra"))
+    both = stored(clear.unionByName(edge).select("doc_id", "source", "n_tokens", "key", "epochs", "rest", "extra"), "drawn")
+    # what the running sum leaves is closed with the largest text that fits, of those not drawn
+    gaps = both.groupBy("source").agg((F.first("rest") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("gap"))
+    fitting = both.filter("extra = 0").join(broadcast_up_to(stored(gaps, "gaps"), MAX_SOURCES), "source").filter("n_tokens <= gap")
+    closing = fitting.groupBy("source").agg(F.max_by("doc_id", F.struct("n_tokens", "key", "doc_id")).alias("closing"))
+    both = both.join(broadcast_up_to(stored(closing, "closing"), MAX_SOURCES), "source", "left")
+    extra = F.when(F.col("doc_id") == F.col("closing"), 1).otherwise(F.col("extra"))
+    both = both.withColumn("times_used", F.col("epochs") + extra)
     selection = stored(both.filter("times_used > 0").select("doc_id", "source", "n_tokens", "times_used"), "mix")
     used = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times_used")).alias("used_tokens"), F.sum("times_used").alias("used_texts"))
     shares = plan.drop("texts", "rest").join(used, "source", "left").fillna(0, ["used_tokens", "used_texts"])
