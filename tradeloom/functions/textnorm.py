@@ -130,10 +130,15 @@ def _constant(name: str) -> None:
 _DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_constant)
 
 
+def decode_json(text: str) -> object:
+    """Strict JSON, one value and nothing after it, numbers as their source text; ValueError otherwise."""
+    return _DECODER.decode(text.strip(" \t\r\n"))
+
+
 def normalise(payload: str | None, mapping: FieldMapping) -> dict:
     """name, description, brand, origin_country, attributes of a payload, or RecordError."""
     try:
-        root = _DECODER.decode((payload or "").strip(" \t\r\n"))
+        root = decode_json(payload or "")
     except (ValueError, RecursionError) as e:
         raise RecordError("malformed", str(e)[:80]) from None
     if not isinstance(root, dict):

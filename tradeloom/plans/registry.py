@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import preparation
+from . import preparation, reference
 
-_PARTS = (preparation,)
+_PARTS = (reference, preparation)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p6_periods"](spark, sf_dir)
+    return QUERIES["run_counters"](spark, sf_dir)
