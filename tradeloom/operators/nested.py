@@ -130,7 +130,10 @@ def emit_tagged(records: DataFrame, key: str = "id", payload: str = "payload", l
         rows: list[tuple] = []
         for batch in batches:
             for record_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(visit(record_id, text, layout))
+                try:
+                    rows.extend(list(visit(record_id, text, layout)))
+                except RecursionError:
+                    rows.append(("rejects", record_id, None, record_id, [], '{"reason": "too deep"}'))
                 if len(rows) >= FLUSH_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
                     rows = []
