@@ -8,6 +8,7 @@ the boundary between them, and the weakest are merged first while the merged siz
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 from collections.abc import Iterator
 from itertools import accumulate
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import VOCABULARY, encode, encoding, spread
+from .tokens import VOCABULARY, encode, spread, token_bytes
 
 PIECES = "doc_id long, piece_no int, n_tokens int, shared_tokens int, cut string, text string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("cut", pa.string()), ("text", pa.string())])
@@ -34,17 +35,21 @@ _WEAK = (
     (BLANK, regex.compile(r"\s+")),
     (MARK, regex.compile(r"[^\p{L}\p{N}\p{M}\s]+")),
 )
-_RUN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+
+
+@functools.cache
+def _runs(least: int) -> regex.Pattern:
+    """Stretches of letters and digits of at least so many characters."""
+    return regex.compile(rf"(?<![\p{{L}}\p{{N}}\p{{M}}])[\p{{L}}\p{{N}}\p{{M}}]{{{least},}}")
+
 
 
 class _Sized:
     """A text with its tokens; positions are bytes of its UTF-8 form that no token and no character crosses."""
 
-    def __init__(self, text: str, path: str) -> None:
+    def __init__(self, text: str, ids: list[int], path: str) -> None:
         self.raw = text.encode("utf-8")
-        enc = encoding(path)
-        ends = accumulate(len(enc.decode_single_token_bytes(t)) for t in encode(text, path))
-        self.ends = list(ends)  # byte at which each token ends
+        self.ends = list(accumulate(map(token_bytes(path).__getitem__, ids)))  # byte at which each token ends
 
     def size(self, a: int, b: int) -> int:
         """Tokens that lie, even in part, in the bytes a to b."""
@@ -135,27 +140,28 @@ def merge(sizes: list[tuple[int, int, int]], size, capacity: int, first_capacity
     def room(k: int) -> int:
         return first_capacity if start[k] == 0 else capacity
 
-    heap = [(strength[k], size(start[k - 1], end[k]), k - 1, k) for k in range(1, n)]
+    heap = [(strength[k], size(start[k - 1], end[k]), k - 1, k, end[k]) for k in range(1, n)]
     heapq.heapify(heap)
     while heap:
-        _, total, left, right = heapq.heappop(heap)
+        _, total, left, right, until = heapq.heappop(heap)
         # a pair is stale if either side has merged since
-        if not alive[left] or not alive[right] or after[left] != right or total != size(start[left], end[right]) or total > room(left):
+        if not alive[left] or not alive[right] or after[left] != right or until != end[right] or total > room(left):
             continue
         end[left], alive[right], after[left] = end[right], False, after[right]
         if after[left] < n:
             nxt = after[left]
             before[nxt] = left
-            heapq.heappush(heap, (strength[nxt], size(start[left], end[nxt]), left, nxt))
+            heapq.heappush(heap, (strength[nxt], size(start[left], end[nxt]), left, nxt, end[nxt]))
         if before[left] >= 0:
             prev = before[left]
-            heapq.heappush(heap, (strength[left], size(start[prev], end[left]), prev, left))
+            heapq.heappush(heap, (strength[left], size(start[prev], end[left]), prev, left, end[left]))
     return [(start[k], end[k]) for k in range(n) if alive[k]]
 
 
 def has_long_run(text: str, limit: int, path: str = VOCABULARY) -> bool:
     """Whether a stretch of letters and digits is by itself larger than limit tokens."""
-    return any(len(m.group()) > limit // 4 and len(encode(m.group(), path)) > limit for m in _RUN.finditer(text))
+    # a character is at most four tokens
+    return any(len(encode(m.group(), path)) > limit for m in _runs(limit // 4 + 1).finditer(text))
 
 
 def split(text: str, limit: int = 512, overlap: int = 64, path: str = VOCABULARY) -> list[tuple[str, int, int]]:
@@ -164,9 +170,10 @@ def split(text: str, limit: int = 512, overlap: int = 64, path: str = VOCABULARY
     Each piece holds at most `limit` of the text's tokens, and as text by itself at most `limit` too; every character is
     in a piece. Consecutive pieces share `overlap` tokens, up to three more where the cut would fall inside a character.
     """
-    sized = _Sized(text, path)
-    if len(sized.ends) <= limit:
-        return [(text, len(sized.ends), 0)]
+    ids = encode(text, path)
+    if len(ids) <= limit:
+        return [(text, len(ids), 0)]
+    sized = _Sized(text, ids, path)
     slack = 4  # for characters that span tokens
     while True:
         capacity = limit - overlap - slack

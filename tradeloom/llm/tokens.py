@@ -27,6 +27,13 @@ def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def token_bytes(path: str = VOCABULARY) -> list[int]:
+    """The number of bytes of each token, by its id."""
+    enc = encoding(path)
+    return [len(enc.decode_single_token_bytes(t)) for t in range(len(enc.token_byte_values()))]
+
+
 def encode(text: str | None, path: str = VOCABULARY) -> list[int]:
     """Token ids of the whole text; none for null."""
     if not text:
