@@ -69,3 +69,27 @@ def test_columns(spark):
 
     got = [r.c for r in df.select("k", collapse_text(F.col("t")).alias("c")).orderBy("k").collect()]
     assert got == [None if t is None else collapse(t) for t in texts]
+
+
+def test_all_versions_have_a_fingerprint(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    from tradeloom.plans import reference
+
+    rows = [
+        ("plain", "Desk lamp", "A lamp", " ACME ", "DE", '{"color": "red"}', '{"attributes":{"color":"red"},"brand":"acme","canonical_name":"Desk lamp","description":"A lamp","origin_country":"DE"}'),
+        ("accent", "Café", None, " ÉCOLE ", "", '{" FARBE": "Grün", "A": null}', '{"attributes":{"a":"","farbe":"Grün"},"brand":"école","canonical_name":"Café"}'),
+        ("marks", 'a<b>&" ', "x\\b y\\f \b\f\n\x1f\x7f", None, None, None, '{"canonical_name":"a\\u003cb\\u003e\\u0026\\"\\u2028","description":"x\\\\b y\\\\f \\b\\f\\n\\u001f\x7f"}'),
+        ("sigma", "n", None, "\x1fΟΔΟΣ İ", None, "{}", '{"brand":"\\u001fοδοσ i","canonical_name":"n"}'),
+        ("half", "n", None, None, None, '{"z": "\\ud800", "b": "\\ud83d\\ude00"}', '{"attributes":{"b":"\U0001f600","z":"�"},"canonical_name":"n"}'),
+        ("null", None, None, None, None, None, '{"canonical_name":""}'),
+    ]
+    spark.createDataFrame([r[:6] for r in rows], "id string, canonical_name string, description string, brand string, origin_country string, attributes string").write.parquet(f"{tmp_path}/product_versions.parquet")
+    got = {r.id: r.fingerprint for r in reference.QUERIES["fingerprint_versions"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: "v1:" + hashlib.sha256(r[6].encode()).hexdigest() for r in rows}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW product_versions AS SELECT * FROM '{tmp_path}/product_versions.parquet/*.parquet' WHERE canonical_name IS NOT NULL")
+    said = con.execute(reference.ORACLE["fingerprint_versions"]).fetchall()
+    assert said and all(got[k] == f for k, f in said)

@@ -101,9 +101,10 @@ def collapse(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case, one character at a time: no special final forms, nothing grows."""
+    text = text.strip(BLANKS)
     if text.isascii():
-        return text.strip().lower()
-    out = unicodedata.normalize("NFC", text.strip())
+        return text.lower()
+    out = unicodedata.normalize("NFC", text)
     return "".join(low if len(low := c.lower()) == 1 else "i" if c == "İ" else c for c in out)
 
 
@@ -161,8 +162,8 @@ def normalise(payload: str | None, mapping: FieldMapping) -> dict:
     return {"name": name, "description": text_at(mapping.description) or "", "brand": brand, "origin_country": origin.upper(), "attributes": attributes or None}
 
 
-#: Characters the serialised form writes as escapes.
-_ESCAPES = {ord(c): f"\\u{ord(c):04x}" for c in ("<", ">", "&", chr(0x2028), chr(0x2029))}
+#: Characters the serialised form writes as escapes; half a surrogate pair becomes the replacement character.
+_ESCAPES = {ord(c): f"\\u{ord(c):04x}" for c in ("<", ">", "&", chr(0x2028), chr(0x2029))} | dict.fromkeys(range(0xD800, 0xE000), "\ufffd")
 
 
 def fingerprint(name: str, description: str | None, brand: str | None, origin_country: str | None, attributes: dict[str, str] | None) -> str:
@@ -170,8 +171,8 @@ def fingerprint(name: str, description: str | None, brand: str | None, origin_co
     fields = {"attributes": {fold(k): attributes[k] for k in attributes} if attributes else None, "brand": fold(brand or ""), "canonical_name": name, "description": description, "origin_country": origin_country}
     kept = {k: v for k, v in fields.items() if v or k == "canonical_name"}
     if "attributes" in kept:
-        kept["attributes"] = dict(sorted(kept["attributes"].items(), key=lambda x: x[0].encode()))
-    text = json.dumps(kept, ensure_ascii=False, separators=(",", ":")).replace("\\b", "\\u0008").replace("\\f", "\\u000c").translate(_ESCAPES)
+        kept["attributes"] = dict(sorted(kept["attributes"].items(), key=lambda x: x[0].encode("utf-8", "surrogatepass")))
+    text = json.dumps(kept, ensure_ascii=False, separators=(",", ":")).translate(_ESCAPES)
     return FINGERPRINT_PREFIX + hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
@@ -198,13 +199,13 @@ def with_normalised(records: DataFrame, mapping: FieldMapping, payload: str = "p
 
 
 def version_fingerprint(name: Column, description: Column, brand: Column, origin: Column, attributes_json: Column) -> Column:
-    """The fingerprint of a stored version; its attributes are a JSON object of strings, or null."""
+    """The fingerprint of a stored version; its attributes are a JSON object of strings, or null. A null value is read as the empty string."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for n, d, b, o, a in batches:
             given = [json.loads(x) if x else None for x in a]
-            yield pd.Series([fingerprint(x or "", y, z, w, {k: t for k, t in g.items() if t is not None} if g else None) for x, y, z, w, g in zip(n, d, b, o, given, strict=True)])
+            yield pd.Series([fingerprint(x or "", y, z, w, {k: t if t is not None else "" for k, t in g.items()} if g else None) for x, y, z, w, g in zip(n, d, b, o, given, strict=True)])
 
     return run(name, description, brand, origin, attributes_json)
 

@@ -233,11 +233,8 @@ def change_fields(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT *, lower(trim(brand)) AS b, description AS d, attributes AS a, coalesce(list_sort(json_keys(attributes)), []) AS k FROM product_versions
  WHERE regexp_full_match(concat(canonical_name, description, brand, origin_country, attributes), '[ !#-%''-;=?-\[\]-~{}"]*') AND NOT contains(coalesce(attributes, ''), 'null') AND coalesce(attributes, '') = lower(coalesce(attributes, '')))""")
 def fingerprint_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of the versions whose text is plain ASCII and whose attributes need no folding, where SQL can say the same."""
+    """Fingerprints of all versions. The SQL can say only those of plain ASCII text whose attributes need no folding; its rows are among these."""
     v = table(spark, d, "product_versions")
-    plain = F.concat_ws("", "canonical_name", "description", "brand", "origin_country", "attributes").rlike(r"\A[ !#-%'-;=?-\[\]-~{}\x22]*\z")
-    a = F.coalesce("attributes", F.lit(""))
-    v = v.filter(plain & ~a.contains("null") & (a == F.lower(a)))
     return v.select("id", textnorm.version_fingerprint(F.col("canonical_name"), F.col("description"), F.col("brand"), F.col("origin_country"), F.col("attributes")).alias("fingerprint"))
 
 
