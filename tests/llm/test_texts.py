@@ -98,3 +98,30 @@ def test_mix(spark):
     again = mix(frame(spark, rows + copies), targets)[0].collect()
     assert sorted(again) == sorted(chosen)
     assert mix(frame(spark, []), targets)[0].count() == 0
+
+
+def test_shards_hold_neighbours(spark):
+    from tradeloom.llm.packing import items, term_statistics, with_shards
+    from tradeloom.llm.tokens import encoding
+
+    rng = random.Random(9)
+    topics = [rng.sample(sorted({w for w in "harbour copper violin glacier saffron turbine mosaic lantern orchard velvet granite compass tundra ribbon falcon marble walnut cedar bronze meadow canyon pepper anchor silver".split()}), 6) for _ in range(12)]
+    # one large source: its shards used to be a hash of it
+    rows = [(k, "a", " ".join(rng.choices(topics[k % 12], k=40))) for k in range(1200)] + [(5000, "a", "pallet " * 3000)]
+    parts = items(frame(spark, rows), 512)
+    df, n, mean = term_statistics(parts, encoding().n_vocab)
+    pieces = parts.filter("doc_id = 5000").count()
+    assert pieces > 5 and n == 1200 + pieces and df.max() >= pieces and df[encode(" pallet pallet")[-1]] == pieces
+    got = with_shards(parts, 8_000, 512, spark.sparkContext.broadcast((df, n, mean))).filter("doc_id < 5000").select("doc_id", "shard", "n_tokens").collect()
+    shard, tokens = {r.doc_id: r.shard for r in got}, {}
+    for r in got:
+        tokens[r.shard] = tokens.get(r.shard, 0) + r.n_tokens
+    assert len(tokens) > 4 and max(tokens.values()) < 16_000
+    # of two texts of a topic, far more are in one shard than the hash's 1 in the number of shards
+    pairs = [(a, b) for a in range(0, 1200, 7) for b in range(a % 12, 1200, 12) if a != b]
+    assert sum(shard[a] == shard[b] for a, b in pairs) / len(pairs) > 3 / len(tokens)
+
+
+def test_copies_spread(spark):
+    held = pack(frame(spark, [(k, "a", "one text for all of them") for k in range(2000)]), 512, shard_tokens=2_000).groupBy("doc_id").count().collect()
+    assert len(held) == 2000 and {r["count"] for r in held} == {1}

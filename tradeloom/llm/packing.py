@@ -1,26 +1,30 @@
 """Packing texts into containers of a fixed number of tokens, by lexical retrieval.
 
-Texts are spread over shards, each with an inverted BM25 index of its texts; term statistics are those of all texts. In a shard
-the largest unused text seeds a container, the index returns its unused neighbours, and they fill the window greedily;
+Texts are routed to shards by content, by one rule at every size: a tree, fitted to a sample, splits them by the direction in which their
+hashed term vectors differ most, into shards of about equal tokens. Each shard has an inverted BM25 index of its texts; term statistics
+are those of all texts. In a shard the largest unused text seeds a container, the index returns its unused neighbours, and they fill the window greedily;
 what they leave is closed with the largest unused text that fits.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_up_to, stored
+from ..session import stored
 from .tokens import VOCABULARY, encode, encoding, spread
 
 #: Tokens of a shard: some 1,000 containers, a few MB in the memory of a task.
 SHARD_TOKENS = 2_000_000
+#: Length of a text's hashed term vector; texts of the sample for each shard, and at least.
+PARTS, SAMPLE_A_SHARD, SAMPLE = 256, 16, 4_000
 #: BM25's usual constants, and the number of the seed's heaviest terms that form the query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
 
@@ -34,7 +38,7 @@ _ITEM_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("piec
 
 def items(docs: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFrame:
     """The items to pack: a text within the capacity is one; a larger one is cut into full containers and a rest.
-    Null and empty texts are items of size 0. terms and counts hold the token ids of an item that still has to find its place."""
+    Null and empty texts are items of size 0. terms and counts hold an item's token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +47,7 @@ def items(docs: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFrame:
                 ids = np.asarray(encode(text, path), dtype="int32")
                 for k, at in enumerate(range(0, max(len(ids), 1), capacity)):
                     part = ids[at : at + capacity]
-                    terms, counts = np.unique(part, return_counts=True) if len(part) < capacity else (part[:0], part[:0])
+                    terms, counts = np.unique(part, return_counts=True)
                     rows.append((doc, source, k, at, len(part), terms.astype("int32").tobytes(), counts.astype("uint16").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ITEM_ARROW, strict=True)], schema=_ITEM_ARROW)
@@ -53,7 +57,7 @@ def items(docs: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFrame:
 
 
 def term_statistics(parts: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
-    """(document frequency by token id, number of items, mean size) over all items. The vector has the vocabulary's size, whatever the data's."""
+    """(document frequency by token id, number of items, mean size) over all items with text, full ones included. The vector has the vocabulary's size, whatever the data's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(vocabulary, dtype="int64")
@@ -70,18 +74,95 @@ def term_statistics(parts: DataFrame, vocabulary: int) -> tuple[np.ndarray, int,
     return df, n, mean or 1.0
 
 
-def with_shards(parts: DataFrame, shard_tokens: int) -> DataFrame:
-    """parts with a shard: sources are sharded apart, each into as many shards as its tokens ask for, so no source
-    is one task; sources smaller than a shard share some. Within a source texts go by hash."""
-    sums = parts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    n = F.ceil(F.col("tokens") / shard_tokens)
-    alone = sums.filter(F.col("tokens") >= shard_tokens).select(F.col("source").alias("s"), n.cast("int").alias("shards"))
-    small = sums.filter(F.col("tokens") < shard_tokens).agg(F.sum("tokens").alias("tokens")).first()[0] or 0
-    rest = max(1, -(-int(small) // shard_tokens))
-    out = parts.join(broadcast_up_to(stored(alone, "shards"), 100_000), F.col("source").eqNullSafe(F.col("s")), "left")
-    name = F.when(F.col("shards").isNotNull(), F.concat_ws("#", F.lit("source"), F.coalesce("source", F.lit("")))).otherwise("small sources")
-    k = F.pmod(F.xxhash64("doc_id", "piece_no"), F.coalesce("shards", F.lit(rest)))
-    return out.withColumn("shard", F.concat_ws("-", name, k.cast("string"))).drop("s", "shards")
+def vectors(terms: Iterable[bytes], counts: Iterable[bytes], df: np.ndarray, n: int) -> np.ndarray:
+    """A row for each item: its terms by rarity and count, hashed into PARTS places with a sign, of length 1 (0 without terms)."""
+    rows = []
+    for t, c in zip(terms, counts, strict=True):
+        ids = np.frombuffer(t, dtype="int32")
+        hashed = (ids.astype("uint64") * np.uint64(2654435761)) % np.uint64(2**32)
+        weight = np.log1p(n / np.maximum(df[ids], 1)) * np.log1p(np.frombuffer(c, dtype="uint16"))
+        row = np.bincount((hashed >> np.uint64(8)).astype("int64") % PARTS, weight * np.where(hashed >> np.uint64(31), 1.0, -1.0), PARTS)
+        rows.append(row / (np.sqrt(row @ row) or 1.0))
+    return np.array(rows, dtype="float32").reshape(-1, PARTS)
+
+
+class Routing:
+    """A binary tree over vectors whose leaves are the shards. Vectors that lie on a node's border (copies of one text, say) go to either side by a hash."""
+
+    BORDER = 1e-4
+
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int) -> None:
+        self.direction, self.middle, self.children = [], [], []
+        self.root = self._grow(sample.astype("float32"), sizes.astype("float64"), 0, shards)
+        self.direction = np.array(self.direction, dtype="float32").reshape(-1, PARTS)
+        self.middle, self.children = np.array(self.middle), np.array(self.children, dtype="int64").reshape(-1, 2)
+
+    def _grow(self, x: np.ndarray, sizes: np.ndarray, first: int, shards: int) -> int:
+        """The number of a node; -1 - k stands for leaf k."""
+        if shards == 1:
+            return -1 - first
+        node, share = len(self.middle), shards // 2
+        self.direction.append(np.zeros(PARTS, "float32"))
+        self.middle.append(0.0)
+        self.children.append((0, 0))
+        left = np.zeros(len(x), dtype=bool)
+        if len(x):
+            centred = x - np.average(x, axis=0, weights=sizes)
+            # what tells texts by their size is left out, so that both sides get large and small ones and containers can be filled
+            classes = np.searchsorted(np.quantile(sizes, [0.25, 0.5, 0.75]), sizes)
+            means = np.array([centred[classes == c].mean(0) for c in np.unique(classes)])
+            _, weight, by_size = np.linalg.svd(means, full_matrices=False)
+            by_size = by_size[weight > 1e-6].astype("float32")
+            centred = centred - centred @ by_size.T @ by_size
+            v = centred[np.argmax((centred**2).sum(1))]
+            for _ in range(20):  # towards the principal direction
+                v = centred.T @ (centred @ v)
+                v = v / (np.sqrt(v @ v) or 1.0)
+            at = x @ v
+            order = np.argsort(at, kind="stable")
+            held = np.cumsum(sizes[order])
+            k = min(int(np.searchsorted(held, held[-1] * share / shards)), len(x) - 1)
+            self.direction[node] = v
+            self.middle[node] = float(at[order[k]] + at[order[min(k + 1, len(x) - 1)]]) / 2
+            left[order[: k + 1]] = True
+        self.children[node] = (self._grow(x[left], sizes[left], first, share), self._grow(x[~left], sizes[~left], first + share, shards - share))
+        return node
+
+    def leaves(self, x: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at, level = np.full(len(x), self.root, dtype="int64"), 0
+        while len(inner := np.nonzero(at >= 0)[0]):
+            off = (x[inner] * self.direction[at[inner]]).sum(1) - self.middle[at[inner]]
+            right = np.where(np.abs(off) <= self.BORDER, hashes[inner] >> level & 1, off > 0)
+            at[inner] = self.children[at[inner], right.astype("int64")]
+            level += 1
+        return (-1 - at).astype("int32")
+
+
+def with_shards(parts: DataFrame, shard_tokens: int, capacity: int, statistics: Broadcast) -> DataFrame:
+    """parts with a shard, as many as the tokens of the items that have to find their place ask for, whatever their sources."""
+    spark = parts.sparkSession
+    _, n, _ = statistics.value
+    loose = parts.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
+    shards = max(1, -(-int(loose.agg(F.sum("n_tokens")).first()[0] or 0) // shard_tokens))
+    hashes = F.xxhash64("doc_id", "piece_no", "terms")
+
+    @F.pandas_udf("binary")
+    def vector(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for terms, counts in batches:
+            yield pd.Series([r.astype("float16").tobytes() for r in vectors(terms, counts, *statistics.value[:2])])
+
+    # sorted, so that the tree does not depend on the order in which rows arrive
+    share = min(1.0, max(SAMPLE, SAMPLE_A_SHARD * shards) / max(n, 1))
+    sample = sorted(map(tuple, loose.filter(F.pmod(hashes, F.lit(1 << 20)) < share * (1 << 20)).select(vector("terms", "counts"), "n_tokens").collect())) if shards > 1 else []
+    flat = np.frombuffer(b"".join(bytes(v) for v, _ in sample), dtype="float16").reshape(-1, PARTS)
+    routing = spark.sparkContext.broadcast(Routing(flat, np.array([k for _, k in sample]), shards))
+
+    @F.pandas_udf("int")
+    def leaf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for terms, counts, keys in batches:
+            yield pd.Series(routing.value.leaves(vectors(terms, counts, *statistics.value[:2]), keys.to_numpy("int64") >> 20))
+
+    return parts.withColumn("shard", leaf("terms", "counts", hashes))
 
 
 class Index:
@@ -180,5 +261,8 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_tokens: int = SHARD_TOKENS
         out.insert(1, "position", [p for g in groups for p in range(len(g))])
         return out
 
-    packed = with_shards(parts, shard_tokens).drop("source").groupBy("shard").applyInPandas(shard, PACKED)
+    # full items have their container, and need no terms from here on
+    loose = F.col("n_tokens") < capacity
+    sharded = with_shards(parts, shard_tokens, capacity, statistics).drop("source").withColumns({c: F.when(loose, F.col(c)) for c in ("terms", "counts")})
+    packed = sharded.groupBy("shard").applyInPandas(shard, PACKED)
     return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
