@@ -37,3 +37,12 @@ def test_groups(spark):
     found = same_article(p, spark.createDataFrame(versions, V), refs)
     assert sorted(map(tuple, pairs(found).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
     assert same_article(p.limit(0), spark.createDataFrame([], V), refs).count() == 0
+
+
+def test_series_words_of_many_listings(spark):
+    from tradeloom.llm.listings import mined_phrases
+
+    told = [("ref:A", ["solanix", "speaken"])] * 90 + [(f"own:{k}", ["solanix"]) for k in range(12)]  # a hot model with stray mentions
+    told += [(f"ref:{k % 20}", ["lautsprecher", "speaker"]) for k in range(60)] + [("ref:B", ["lautspecher"])] * 2 + [("ref:C", ["tandorel"])] * 2
+    found = mined_phrases(spark.createDataFrame([(b, w, []) for b, w in told], "brand string, words array<string>, codes array<string>")).collect()
+    assert sorted((r.brand, r.phrase, r.n) for r in found) == [("ref:A", "solanix", 90), ("ref:A", "speaken", 90), ("ref:C", "tandorel", 2)]

@@ -160,8 +160,9 @@ def with_brand(listings: DataFrame, brand_refs: DataFrame) -> DataFrame:
 
 #: A series word is met in so many listings, and so large a share of those whose brand is known are of one brand.
 MIN_LISTINGS, MIN_SHARE = 2, 0.8
-#: Words of so many listings and brands are common words, whatever their share; one typing error from them is no series word either.
-COMMON_LISTINGS, COMMON_BRANDS = 20, 8
+#: A word is common if no brand has more than such a share of its trusted listings. A word one typing error from a common one that is so many
+#: times as frequent is a slip of it, no series word.
+COMMON_SHARE, COMMON_TIMES = 0.5, 10
 
 
 def mined_phrases(listings: DataFrame) -> DataFrame:
@@ -169,14 +170,15 @@ def mined_phrases(listings: DataFrame) -> DataFrame:
     codes = listings.filter("brand is not null").select("brand", F.explode("codes").alias("phrase")).groupBy("brand", "phrase").agg(F.count("*").alias("n"))
     by = listings.select("brand", F.explode("words").alias("phrase")).groupBy("phrase", "brand").agg(F.count("*").alias("n"))
     by = stored(by, "words")
-    total = by.groupBy("phrase").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("brand").isNotNull(), F.col("n"))).alias("trusted"), F.count("brand").alias("brands"))
+    known = F.when(F.col("brand").isNotNull(), F.col("n"))
+    total = by.groupBy("phrase").agg(F.sum("n").alias("all"), F.sum(known).alias("trusted"), F.max(known).alias("most"))
     words = by.filter("brand is not null").join(total, "phrase").filter((F.col("all") >= MIN_LISTINGS) & (F.col("n") >= MIN_SHARE * F.col("trusted")))
-    common = total.filter((F.col("all") >= COMMON_LISTINGS) & (F.col("brands") >= COMMON_BRANDS)).select(F.col("phrase").alias("common"))
+    common = total.filter((F.col("all") >= COMMON_TIMES * MIN_LISTINGS) & (F.col("most") <= COMMON_SHARE * F.col("trusted"))).select(F.col("phrase").alias("common"), F.col("all").alias("frequency"))
     shorter = F.array_distinct(F.concat(F.array("common"), F.transform(F.sequence(F.lit(1), F.length("common")), lambda k: F.concat(F.substring("common", F.lit(1), k - 1), F.substring("common", k + 1, F.length("common"))))))
-    near = common.select(F.explode(shorter).alias("key")).distinct()
+    near = common.select(F.explode(shorter).alias("key"), "frequency").groupBy("key").agg(F.max("frequency").alias("frequency"))
     own = F.array_distinct(F.concat(F.array("phrase"), F.transform(F.sequence(F.lit(1), F.length("phrase")), lambda k: F.concat(F.substring("phrase", F.lit(1), k - 1), F.substring("phrase", k + 1, F.length("phrase"))))))
-    keys = words.select("brand", "phrase", "n", F.explode(own).alias("key"))
-    typing = keys.join(broadcast_up_to(stored(near, "common-words"), 50_000), "key", "left_semi").select("brand", "phrase").distinct()
+    keys = words.select("brand", "phrase", "all", F.explode(own).alias("key"))
+    typing = keys.join(broadcast_up_to(stored(near, "common-words"), 50_000), "key").filter(F.col("frequency") >= COMMON_TIMES * F.col("all")).select("brand", "phrase").distinct()
     words = words.select("brand", "phrase", "n").join(typing, ["brand", "phrase"], "left_anti")
     return codes.unionByName(words)
 
