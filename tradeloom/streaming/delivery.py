@@ -97,11 +97,27 @@ def relay(outbox_stream: DataFrame, publish: Callable[[DataFrame, int], None], c
 
 
 def consume(messages: DataFrame, group: str, handle: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """One consumer group with its own checkpoint: corrupt envelopes to the dead letters, each event id handled once (within a watermark of a day)."""
+    """One consumer group with its own checkpoint: corrupt envelopes to the dead letters, each event id handled once, in whichever micro-batch it
+    comes first. The ids handled are a table beside the checkpoint, written by batch id after the handler is done: a micro-batch that runs again
+    leaves out its own ids, is handled as before and replaces them. handle must bear such a second run with the same batch id."""
+    ids = f"{checkpoint.rstrip('/')}-handled"
 
     def batch(df: DataFrame, n: int) -> None:
-        read = decode(df)
-        dead(read.filter("corrupt"), n)
-        handle(for_group(read.filter("not corrupt"), group).dropDuplicates(["event_id"]), n)
+        spark = df.sparkSession
+        df.persist()
+        try:
+            read = decode(df)
+            dead(read.filter("corrupt"), n)
+            # the table is created empty, under no batch id of a stream
+            spark.createDataFrame([], "event_id string").write.mode("overwrite").parquet(f"{ids}/batch=-1")
+            before = spark.read.schema("event_id string, batch long").parquet(ids).filter(F.col("batch") < n).select("event_id")
+            fresh = for_group(read.filter("not corrupt"), group).dropDuplicates(["event_id"]).join(before, "event_id", "left_anti").persist()
+            try:
+                handle(fresh, n)
+                fresh.select("event_id").write.mode("overwrite").parquet(f"{ids}/batch={n}")
+            finally:
+                fresh.unpersist()
+        finally:
+            df.unpersist()
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
