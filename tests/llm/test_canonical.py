@@ -41,3 +41,10 @@ def test_fields(spark):
 def test_pieces():
     assert errors("india", "idnia") == 1 and errors("abc", "abd") == 1 and errors("", "ab") == 2
     assert "china" in origin_readings("CN - China") and tokens("de") == ["=de"] and tokens("") == []
+
+
+def test_errors_in_the_first_letter(spark):
+    refs = spark.createDataFrame(COUNTRIES + [("LU", "Ulmuko"), ("X", "Xiger")], "ref_id string, name string")
+    values = spark.createDataFrame([("Lumuko",), ("ermany",), ("Wermany",), ("Nigxr",), ("Qzzzny",)], "value string")
+    got = {r.value: r.ref_id for r in canonical(values, refs, brand_readings, brand_names).collect()}
+    assert got == {"Lumuko": "LU", "ermany": "DE", "Wermany": "DE", "Nigxr": "NE", "Qzzzny": NONE}

@@ -151,18 +151,19 @@ def _names(read: Callable[[str, str], list[str]]) -> Callable:
 
 def canonical(values: DataFrame, refs: DataFrame, read: Callable[[str], list[str]], names: Callable[[str, str], list[str]]) -> DataFrame:
     """value, ref_id for each distinct value of the column `value`: the entry of refs (ref_id, name) it stands for, or NONE. Null values
-    have no row, blank ones are NONE. Of equally good entries the one with the higher Jaccard, then the smaller ref_id, is kept."""
+    have no row, blank ones are NONE. Of equally good entries the one with the same first letter, then the higher Jaccard, then the smaller ref_id, is kept."""
     v = stored(values.select("value").dropna().distinct(), "typed").withColumn("reading", F.explode_outer(_readings(read)("value")))
     typed = stored(v, "readings")
     known = refs.select(F.col("ref_id").cast("string"), "name").dropna().select("ref_id", F.explode(_names(names)("ref_id", "name")).alias("name")).distinct()
     known = stored(known, "names")
     left = typed.select(F.col("reading").alias("id")).dropna().distinct().withColumn("tokens", _tokens("id"))
     right = known.select(F.col("name").alias("id")).distinct().withColumn("tokens", _tokens("id"))
-    near = similarity_join(left, right, THRESHOLD).filter((F.substring("left_id", 1, 1) == F.substring("right_id", 1, 1)) & (F.levenshtein("left_id", "right_id", 4) >= 0))
+    near = similarity_join(left, right, THRESHOLD).filter(F.levenshtein("left_id", "right_id", 4) >= 0)
     near = near.withColumn("errors", _errors("left_id", "right_id"))
     near = near.filter(F.col("errors") <= errors_allowed(F.col("left_id"), F.col("right_id")))
     hits = near.join(broadcast_up_to(known, BROADCAST_ROWS), F.col("right_id") == F.col("name"))
-    best = typed.join(hits, F.col("reading") == F.col("left_id")).groupBy("value").agg(F.min_by("ref_id", F.struct("errors", -F.col("jaccard"), "ref_id")).alias("ref_id"))
+    other = F.substring("left_id", 1, 1) != F.substring("right_id", 1, 1)
+    best = typed.join(hits, F.col("reading") == F.col("left_id")).groupBy("value").agg(F.min_by("ref_id", F.struct("errors", other, -F.col("jaccard"), "ref_id")).alias("ref_id"))
     return v.select("value").distinct().join(best, "value", "left").select("value", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id"))
 
 
