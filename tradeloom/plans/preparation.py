@@ -9,7 +9,7 @@ from ..operators.known_at import pivot_back, tariffs_known
 from ..operators.messages import dlq_copies, outbox_copies
 from ..operators.nested import flatten
 from ..session import table
-from ..streaming.lateness import batch_view, corrections
+from ..streaming.lateness import LambdaViews
 
 MEASURES = ["MFN", "ADDITIONAL_DUTY:LEVY_1", "ADDITIONAL_DUTY:SEC_A", "ADDITIONAL_DUTY:SEC_B", "PREFERENTIAL:PACT_X", "PREFERENTIAL:PACT_Y"]
 
@@ -61,13 +61,20 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return outbox.select("delivery_id", "event_type", "status").join(copies, "delivery_id", "left_anti")
 
 
+def _views(spark: SparkSession, d: str) -> LambdaViews:
+    """The catalogue's log replayed through both layers: micro-batches of a day, a batch run at each midnight."""
+    views = LambdaViews(spark)
+    views.replay(table(spark, d, "raw_records"))
+    return views
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return corrections(table(spark, d, "raw_records"))
+    return _views(spark, d).decisions().filter("verdict <> 'provisional'")
 
 
 def p6_periods(spark: SparkSession, d: str) -> DataFrame:
-    """Counts for each supplier and day after all arrivals."""
-    return batch_view(table(spark, d, "raw_records").select("source_id", "source_updated_at", "received_at"))
+    """Counts for each supplier and day, as served at the midnight after the last arrival."""
+    return _views(spark, d).serve()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_table_sizes, p1_price_list, p2_found, p2_attributes, p5_found, p5_kept, p6_found, p6_periods)}
@@ -135,5 +142,5 @@ UNION ALL SELECT 'dlq_messages', min(y), x FROM reach GROUP BY x HAVING min(y) <
     "p6_found": _VERDICTS + "\nSELECT id AS raw_record_id, verdict FROM v WHERE verdict <> 'on_time'",
     "p6_periods": _VERDICTS + """
 SELECT source_id, period, count(*) FILTER (verdict = 'on_time') AS on_time, count(*) FILTER (verdict = 'corrects') AS corrections, count(*) FILTER (verdict <> 'too_late') AS records,
- count(*) FILTER (verdict = 'too_late') AS too_late, true AS frozen FROM v GROUP BY source_id, period""",
+ count(*) FILTER (verdict = 'too_late') AS too_late, period + INTERVAL 4 DAY <= (SELECT max(CAST(received_at AS DATE)) + 1 FROM raw_records) AS frozen FROM v GROUP BY source_id, period""",
 }

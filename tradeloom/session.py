@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .files import Folder
 
 #: White space as Unicode defines it, plus zero-width marks that editors leave at the ends of values.
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
@@ -55,9 +58,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), "tradeloom", f"{name}-{uuid.uuid4().hex}")
+    """A path in the shared folder that no other run uses. Results may still read it after a query returns, so it lasts until
+    clear_scratch() or the end of the process."""
+    path = os.path.join(shared_dir(spark), "tradeloom", f"{name}-{uuid.uuid4().hex}")
+    _made[path] = spark
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete all scratch tables this process has made; frames that read them can't be used any more."""
+    while _made:
+        path, spark = _made.popitem()
+        if spark.sparkContext._jsc is not None:
+            Folder(spark, path).delete()
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear_scratch()
+    except Exception:  # noqa: BLE001
+        pass  # the JVM has gone first; its shared folder is the cluster's to clean
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -67,10 +92,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it holds at most max_rows rows, otherwise as it is (shuffled join, which
-    AQE splits where keys are skewed). df should be a stored table, so that the count reads footers only."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: What is broadcast may hold so many bytes, by the lengths of its values.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_up_to(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it holds at most max_rows rows and max_bytes bytes, otherwise as it is (shuffled join, which
+    AQE splits where keys are skewed). Both are measured, on at most max_rows + 1 rows. df should be a stored table or a plain scan."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = F.octet_length(c)
+        else:
+            size = F.octet_length(F.to_json(F.struct(c))) if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) else F.lit(8)
+        width = width + F.coalesce(size, F.lit(0)) + 16
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def trimmed(c: Column) -> Column:
@@ -84,7 +122,6 @@ def or_null(c: Column) -> Column:
 
 
 
-
 _shipped: set[str] = set()
 
 
