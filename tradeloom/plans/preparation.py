@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.known_at import pivot_back, tariffs_known
-from ..operators.messages import dlq_copies, outbox_copies
+from ..operators.known_at import known_rows, tariffs_known
+from ..operators.messages import BucketStore, dlq_copies, first_by_id, message_id, outbox_copies
 from ..operators.nested import flatten
-from ..session import table
+from ..session import scratch, table
 from ..streaming.lateness import LambdaViews
 
-MEASURES = ["MFN", "ADDITIONAL_DUTY:LEVY_1", "ADDITIONAL_DUTY:SEC_A", "ADDITIONAL_DUTY:SEC_B", "PREFERENTIAL:PACT_X", "PREFERENTIAL:PACT_Y"]
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("positions")
     prices = flatten(table(spark, d, "raw_records")).tagged().filter("table_tag = 'prices'")
@@ -35,25 +32,36 @@ def p1_price_list(spark: SparkSession, d: str) -> DataFrame:
     return prices.join(packs, "pack_pk").join(variants, "variant_pk").select("pk", "sku", "code", "currency", "amount")
 
 
-def _known(spark: SparkSession, d: str) -> DataFrame:
+def _known(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return tariffs_known(table(spark, d, "tariff_queries"), table(spark, d, "tariff_rates"), table(spark, d, "regulatory_datasets"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _known(spark, d).select("query_id", "rate_id")
+    wide, names = _known(spark, d)
+    return known_rows(wide, ["query_id"], names, "rate_id")
 
 
 def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each query with a measure: the number of its rates by measure."""
-    n = _known(spark, d).groupBy("query_id", "attribute").agg(F.count("*").alias("n"))
-    wide = pivot_back(n, ["query_id"], "attribute", "n", MEASURES)
-    return wide.select("query_id", *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(m.lower().replace(":", "_")) for m in MEASURES])
+    """One row for each query with a measure: each measure with the rates known of it, in the order of measures. Measures come from the data."""
+    wide, names = _known(spark, d)
+    told = [F.when(F.col(f"`{n}`").isNotNull(), F.concat(F.lit(f"{n}="), F.array_join(f"`{n}`", ","))) for n in names]
+    return wide.select("query_id", F.concat_ws(";", *told).alias("known"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return outbox_copies(table(spark, d, "outbox_events")).unionByName(dlq_copies(table(spark, d, "dlq_messages")))
 
 
+def p5_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """Two deliveries of batches upserted into one store, which is opened again in between; messages and the sum of their first deliveries."""
+    outbox, path = table(spark, d, "outbox_events"), scratch(spark, "store")
+    later = F.crc32(F.coalesce("batch_id", F.lit(""))) % 3 == 0
+    for part in (outbox.filter(~later), outbox.filter(later)):
+        store = BucketStore(spark, path)
+        first_by_id(part, message_id("id"), store=store)
+    return BucketStore(spark, path).compact().agg(F.count("*").alias("messages"), F.sum("value").alias("first_deliveries"))
+
+
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     """The one delivery of each outbox message that is kept; deliveries without id are kept all."""
     outbox = table(spark, d, "outbox_events")
@@ -77,7 +85,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return _views(spark, d).serve()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table_sizes, p1_price_list, p2_found, p2_attributes, p5_found, p5_kept, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table_sizes, p1_price_list, p2_found, p2_attributes, p5_found, p5_kept, p5_reopened, p6_found, p6_periods)}
 
 # DuckDB's json_tree walks every node of a payload; the product is the first object that has a title.
 _PAYLOADS = r"""
@@ -129,7 +137,8 @@ SELECT p.id || '/v' || p.variant_no || '/p' || p.pack_no || '/r' || p.price_no A
  json_extract_string(p.price_no_json, '$.currency') AS currency, try_cast(json_extract_string(p.price_no_json, '$.amount') AS DECIMAL(18,4)) AS amount
 FROM prices p JOIN packs k USING (id, variant_no, pack_no) JOIN variants v USING (id, variant_no)""",
     "p2_found": _KNOWN + "\nSELECT query_id, rate_id FROM found",
-    "p2_attributes": _KNOWN + "\nSELECT query_id, " + ", ".join(f"count(*) FILTER (attribute = '{m}') AS {m.lower().replace(':', '_')}" for m in MEASURES) + " FROM found GROUP BY query_id",
+    "p2_attributes": _KNOWN + """ SELECT query_id, string_agg(attribute || '=' || rates, ';' ORDER BY attribute) AS known
+FROM (SELECT query_id, attribute, string_agg(rate_id, ',' ORDER BY rate_id) AS rates FROM found GROUP BY query_id, attribute) GROUP BY query_id""",
     "p5_found": r"""WITH RECURSIVE o AS (SELECT delivery_id, lower(nullif(regexp_replace(id, '^\s+|\s+$', '', 'g'), '')) AS k FROM outbox_events),
 f AS (SELECT delivery_id, min(delivery_id) OVER (PARTITION BY k) AS first FROM o WHERE k IS NOT NULL),
 d AS (SELECT delivery_id AS n, consumer_group || '/' || lower(nullif(regexp_replace(event_id, '^\s+|\s+$', '', 'g'), '')) AS e,
@@ -139,6 +148,7 @@ reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON
 SELECT 'outbox_events' AS feed, first AS first_delivery_id, delivery_id AS copy_delivery_id FROM f WHERE first <> delivery_id
 UNION ALL SELECT 'dlq_messages', min(y), x FROM reach GROUP BY x HAVING min(y) <> x""",
     "p5_kept": _OUTBOX + "\nSELECT delivery_id, event_type, status FROM f WHERE k IS NULL OR delivery_id = first",
+    "p5_reopened": _OUTBOX + "\nSELECT count(*) AS messages, CAST(sum(first) AS BIGINT) AS first_deliveries FROM (SELECT DISTINCT k, first FROM f WHERE k IS NOT NULL)",
     "p6_found": _VERDICTS + "\nSELECT id AS raw_record_id, verdict FROM v WHERE verdict <> 'on_time'",
     "p6_periods": _VERDICTS + """
 SELECT source_id, period, count(*) FILTER (verdict = 'on_time') AS on_time, count(*) FILTER (verdict = 'corrects') AS corrections, count(*) FILTER (verdict <> 'too_late') AS records,
