@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tradeloom.llm.canonical import NONE, brand_names, brand_readings, canonical, errors, map_fields, origin_readings, tokens
+from tradeloom.llm.canonical import NONE, THRESHOLD, brand_names, brand_readings, canonical, errors, map_fields, origin_readings, tokens
 from tradeloom.llm.similarity import similarity_join
 
 BRANDS = [("B1", "Belomo Outdoor"), ("B2", "Ulmuko"), ("B3", "Ulmuka"), ("B4", "Kelelmönt"), ("B5", "Straenalund-Hal")]
@@ -48,3 +48,19 @@ def test_errors_in_the_first_letter(spark):
     values = spark.createDataFrame([("Lumuko",), ("ermany",), ("Wermany",), ("Nigxr",), ("Qzzzny",)], "value string")
     got = {r.value: r.ref_id for r in canonical(values, refs, brand_readings, brand_names).collect()}
     assert got == {"Lumuko": "LU", "ermany": "DE", "Wermany": "DE", "Nigxr": "NE", "Qzzzny": NONE}
+
+
+def test_the_threshold_loses_no_value_within_the_errors_allowed():
+    # every error, and for long names pairs of errors, of made-up names: the token sets keep the threshold, so the join offers the entry
+    rng = random.Random(8)
+    for n in range(4, 13):
+        for _ in range(150):
+            name = "".join(rng.choice("abcdeiklmnorstuvz") for _ in range(n))
+            typed = name
+            for _ in range(1 if n <= 6 else 2):
+                k = rng.randrange(len(typed))
+                typed = rng.choice([typed[:k] + typed[k + 1 :], typed[:k] + rng.choice("abcxyz") + typed[k:], typed[:k] + rng.choice("abcxyz") + typed[k + 1 :], typed[:k] + typed[k : k + 2][::-1] + typed[k + 2 :]])
+            allowed = 0 if min(len(typed), n) <= 3 else 1 if min(len(typed), n) <= 6 else 2
+            if errors(typed, name) <= allowed:
+                a, b = set(tokens(typed)), set(tokens(name))
+                assert len(a & b) / len(a | b) >= THRESHOLD, (typed, name)

@@ -5,8 +5,8 @@ import pytest
 
 from tradeloom.llm.mixing import mix
 from tradeloom.llm.packing import Index, pack, pack_shard
-from tradeloom.llm.splitting import merge, split, split_documents
-from tradeloom.llm.tokens import encode
+from tradeloom.llm.splitting import _Sized, merge, split, split_documents
+from tradeloom.llm.tokens import VOCABULARY, encode, encoding
 
 DOC = "doc_id long, source string, text string, n_tokens int, cut string, shard string"
 RNG = random.Random(5)
@@ -36,9 +36,26 @@ def test_pieces_cover_the_text(text, limit, overlap):
 
 
 def test_weak_boundaries_merge_first():
-    size = lambda a, b: b - a
-    assert merge([(0, 3, 6), (3, 6, 2), (6, 9, 5), (9, 12, 1)], size, 6, 6) == [(0, 6), (6, 12)]
-    assert merge([(0, 3, 6), (3, 6, 5), (6, 9, 1)], size, 6, 6) == [(0, 3), (3, 9)]
+    low, high = [0, 3, 6, 9], [2, 5, 8, 11]
+    assert merge([6, 2, 5, 1], low, high, 6, 6) == [(0, 1), (2, 3)]
+    assert merge([6, 5, 1], low[:3], high[:3], 6, 6) == [(0, 0), (1, 2)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_piece_counts_like_a_text_of_its_own(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice([" word", "Zahl 12", "漢字", "\n\n", "  ", "!!", " é", " l'eau", "\U0001f600", ". A"]) for _ in range(600))
+    sized = _Sized(text, encode(text), VOCABULARY)
+    for _ in range(200):
+        a, b = sorted(rng.sample(range(len(text) + 1), 2))
+        assert sized.alone(a, b) == len(encode(text[a:b]))
+
+
+def test_token_counts_are_exact_at_any_length():
+    enc = encoding()
+    for text in (prose(40_000), "汉" * 200_000, "q" * 200_000, prose(50) + " \n" * 30_000 + "end", "a" + " " * 40_000):
+        assert encode(text) == enc.encode_ordinary(text)
+    assert len(encode("x" + " " * 2_000_000 + "y")) > 2
 
 
 def frame(spark, rows):

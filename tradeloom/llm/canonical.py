@@ -1,8 +1,8 @@
 """Freely typed values mapped to the entries of a reference list.
 
 Distinct typed values are read (decorations, codes and marks taken off), turned into sets of character tokens and joined
-with the references' sets by prefix-filtered similarity. Among the candidates the one with the fewest typing errors is
-kept if they are few enough for the value's length; values without one are reported as NONE.
+with the references' sets by prefix-filtered similarity. Candidates with more typing errors than the value's length allows are
+checked out; of the others the one with the highest exact Jaccard is kept. Values without one are reported as NONE.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def _names(read: Callable[[str, str], list[str]]) -> Callable:
 
 def canonical(values: DataFrame, refs: DataFrame, read: Callable[[str], list[str]], names: Callable[[str, str], list[str]]) -> DataFrame:
     """value, ref_id for each distinct value of the column `value`: the entry of refs (ref_id, name) it stands for, or NONE. Null values
-    have no row, blank ones are NONE. Of equally good entries the one with the same first letter, then the higher Jaccard, then the smaller ref_id, is kept."""
+    have no row, blank ones are NONE. Of entries with the same Jaccard the one with fewer typing errors, then the same first letter, then the smaller ref_id, is kept."""
     v = stored(values.select("value").dropna().distinct(), "typed").withColumn("reading", F.explode_outer(_readings(read)("value")))
     typed = stored(v, "readings")
     known = refs.select(F.col("ref_id").cast("string"), "name").dropna().select("ref_id", F.explode(_names(names)("ref_id", "name")).alias("name")).distinct()
@@ -163,7 +163,7 @@ def canonical(values: DataFrame, refs: DataFrame, read: Callable[[str], list[str
     near = near.filter(F.col("errors") <= errors_allowed(F.col("left_id"), F.col("right_id")))
     hits = near.join(broadcast_up_to(known, BROADCAST_ROWS), F.col("right_id") == F.col("name"))
     other = F.substring("left_id", 1, 1) != F.substring("right_id", 1, 1)
-    best = typed.join(hits, F.col("reading") == F.col("left_id")).groupBy("value").agg(F.min_by("ref_id", F.struct("errors", other, -F.col("jaccard"), "ref_id")).alias("ref_id"))
+    best = typed.join(hits, F.col("reading") == F.col("left_id")).groupBy("value").agg(F.min_by("ref_id", F.struct(-F.col("jaccard"), "errors", other, "ref_id")).alias("ref_id"))
     return v.select("value").distinct().join(best, "value", "left").select("value", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id"))
 
 
@@ -171,7 +171,7 @@ def map_fields(products: DataFrame, brand_refs: DataFrame, country_refs: DataFra
     """product_id, field, ref_id for each brand and origin that is neither blank nor exactly a name (or, of a country, a code)."""
     out = None
     for field, refs, read, names, exact in (("brand", brand_refs, brand_readings, brand_names, ["name"]), ("origin_country", country_refs, origin_readings, origin_names, ["ref_id", "name"])):
-        listed = F.broadcast(refs.select(F.explode(F.array(*exact)).alias("value")).distinct().limit(BROADCAST_ROWS))
+        listed = broadcast_up_to(stored(refs.select(F.explode(F.array(*exact)).alias("value")).dropna().distinct(), "listed"), BROADCAST_ROWS)
         typed = products.select(F.col("id").alias("product_id"), F.col(field).alias("value")).filter(or_null(trimmed(F.col(field))).isNotNull()).join(listed, "value", "left_anti")
         found = broadcast_up_to(stored(canonical(typed, refs, read, names), "canonical"), BROADCAST_ROWS)
         rows = typed.join(found, "value").select("product_id", F.lit(field).alias("field"), "ref_id")

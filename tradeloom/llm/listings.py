@@ -1,18 +1,20 @@
 """Listings of the same article, by a reference dictionary of brand-model phrases.
 
-Listings whose brand is known are trusted: the model codes and series words that go with one brand are mined from them.
-An Aho-Corasick automaton of a brand's phrases then finds them in the normalised text of every listing of the brand, the
-longest consistent match names the model, and the remaining attributes (edition, colour, sizes, pieces, accessory) decide which
-variant a listing offers.
+Listings whose brand is known are trusted: the shapes of model codes, the codes, and the series words that go with one brand are
+mined from them. Aho-Corasick automata of a brand's phrases then find them in the text of every listing of the brand, codes with
+look-alike characters and separators folded; the longest consistent match names the model, and the remaining attributes (edition, colour,
+sizes, pieces, accessory) decide which variant a listing offers.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -43,33 +45,66 @@ EDITION = re.compile(r"(?<![^\W_])(plus|pro|xl|ii)(?![^\W_])", re.I)
 PIECES = {"units", "quantity", "pieces", "pack_size", "stück"}
 NO_BRAND = {"", "none", "nobrand", "unknown", "whitelabel", "oem", "na", "unbranded", "generic", "various"}
 PACK = re.compile(r"\b(?:pack|set) of (\d{1,4})\b|\b(\d{1,4})[ -]?(?:pack|pcs|pieces|pièces|stück|stk)\b|(?<![^\s,|(])(\d{1,3})x(?![^\s,|)])|(?<![^\s,|(])x(\d{1,3})(?![^\s,|)])", re.I)
-ASIDE = re.compile(r"(?:also available in|auch in anderen farben|existe aussi)[^.<|]{0,80}|\b20\d\d model\b", re.I)
-FACTS = re.compile(r"(?:specification|daten|fiche)\s*:(.{0,70})", re.I)
+ASIDE = re.compile(r"(?:also available in|auch in anderen farben|existe aussi)[^.<|]*|\b20\d\d model\b", re.I)
+FACTS = re.compile(r"(?:specification|daten|fiche)\s*:(.*?)(?=[.!?]\s+(?-i:[A-ZÄÖÜÉÈ])|[|]|$)", re.I)
 _UNIT = "|".join(sorted((re.escape(u) for d in UNITS.values() for u in d if u != "floz"), key=len, reverse=True))
 SIZE = re.compile(rf"(?<![\w.,])(\d+(?:[.,]\d+)?)\s*(?:(fl\.?\s*oz|oz)|({_UNIT}))(?![^\W\d_])", re.I)
-#: A model code is three letters and four digits, printed with look-alikes, a gap, a nought between them or split digits.
-CODE = re.compile(rf"(?<![A-Z0-9])([A-Z0-9]{{3}})[ \-._]?0?([0-9OSBIGZ]{{2}}) ?([0-9OSBIGZ]{{2}})(?![A-Z0-9])(?!\s*(?:{_UNIT}|OZ|FL\.? ?OZ)(?![A-Z]))", re.I)
 _TO_LETTERS, _TO_DIGITS = str.maketrans("0125689", "OIZSGBG"), str.maketrans("OSBIGZ", "058162")
+#: Characters that stand for a letter or a digit of a code, and how texts are folded for the search: look-alikes as one, separators left out.
+_LOOKALIKES = {"O": "O0", "I": "I1", "Z": "Z2", "S": "S5", "G": "G69", "B": "B8", "0": "0O", "1": "1I", "2": "2Z", "5": "5S", "6": "6G", "8": "8B"}
+_FOLD = str.maketrans("oiszbg", "015286", " -._")
+_NO_UNIT = rf"(?!\s*(?:{_UNIT}|OZ|FL\.? ?OZ)(?![A-Z]))"
 _COLOUR = {w: c for c, ws in COLOURS.items() for w in ws.split()}
 _WORD = re.compile(r"[^\W\d_]{5,}")
 
-FEATURES = "product_id string, typed string, text string, title string, words array<string>, codes array<string>, edition string, colour string, sizes map<string,double>, pack int, accessory string"
+FEATURES = "product_id string, typed string, text string, given string, title string, words array<string>, codes array<string>, edition string, colour string, sizes map<string,double>, pack int, accessory string"
 
 
 def clean(text: str | None) -> str:
     """Composed, without tags, entities and invisible characters."""
-    text = re.sub(r"<[^<>]{1,40}>", " ", html.unescape(unicodedata.normalize("NFKC", text or "")))
+    text = re.sub(r"</?[A-Za-z][^<>]*>", " ", html.unescape(unicodedata.normalize("NFKC", text or "")))
     return " ".join(re.sub("[\u200b-\u200f\u2060\ufeff]", "", text).split())
 
 
-def codes_of(text: str) -> list[str]:
-    out = []
-    for m in CODE.finditer(text):
-        a, b = m[1].upper(), (m[2] + m[3]).upper()
-        if not re.search("[A-Z]", a) or not re.search("[0-9]", b) or a.lower() in _COLOUR and text[m.end(1)] not in "-._":
-            continue
-        out.append(a.translate(_TO_LETTERS) + b.translate(_TO_DIGITS))
-    return out
+#: A shape (number of letters, number of digits) is a model code's if so large a share of all that looks like a code in trusted listings has it.
+SHAPE_SHARE = 0.2
+
+
+def mined_shapes(products: DataFrame) -> list[tuple[int, int]]:
+    """The shapes of model codes, mined from the plainly printed codes of listings with a brand; at most 35 rows reach the driver."""
+    text = F.upper(F.concat_ws(" . ", "canonical_name", "description"))
+    plain = F.regexp_extract_all(text, F.lit(r"(?<![A-Z0-9])([A-Z]{2,6}[-._ ]?[0-9]{2,8})(?![A-Z0-9])"), F.lit(1))
+    codes = products.filter(F.length(F.trim("brand")) > 0).select(F.explode(plain).alias("code"))
+    shape = [F.length(F.regexp_extract("code", "^[A-Z]+", 0)).alias("letters"), F.length(F.regexp_extract("code", "[0-9]+$", 0)).alias("digits")]
+    counts = [tuple(r) for r in codes.groupBy(*shape).agg(F.count("*").alias("n")).collect()]
+    return sorted((a, b) for a, b, n in counts if n >= SHAPE_SHARE * sum(c[2] for c in counts))
+
+
+@functools.cache
+def shape_pattern(letters: int, digits: int) -> re.Pattern:
+    """Any code of a shape."""
+    half = digits // 2
+    return re.compile(rf"(?<![A-Z0-9])([A-Z0-9]{{{letters}}})[ \-._]?0?([0-9OSBIGZ]{{{half}}} ?[0-9OSBIGZ]{{{digits - half}}})(?![A-Z0-9]){_NO_UNIT}", re.I)
+
+
+@functools.lru_cache(50_000)
+def code_pattern(code: str) -> re.Pattern:
+    """One code, however it is printed."""
+    n = len(code.rstrip("0123456789"))
+    a, b = ([f"[{_LOOKALIKES.get(c, c)}]" for c in part] for part in (code[:n], code[n:]))
+    half = len(b) // 2
+    return re.compile(rf"(?<![A-Z0-9])({''.join(a)})[ \-._]?0?({''.join(b[:half])} ?{''.join(b[half:])})(?![A-Z0-9]){_NO_UNIT}", re.I)
+
+
+def _is_code(m: re.Match, text: str) -> bool:
+    """Letters and digits are not all look-alikes, and the letters are no colour before a number."""
+    return bool(re.search("[A-Z]", m[1], re.I) and re.search("[0-9]", m[2])) and not (m[1].lower() in _COLOUR and text[m.end(1)] not in "-._")
+
+
+def codes_of(text: str, shapes: Sequence[tuple[int, int]]) -> list[str]:
+    """The codes of these shapes that a text holds, look-alikes resolved."""
+    found = [(m.start(), m[1].upper().translate(_TO_LETTERS) + m[2].replace(" ", "").upper().translate(_TO_DIGITS)) for s in shapes for m in shape_pattern(*s).finditer(text) if _is_code(m, text)]
+    return [c for _, c in sorted(found)]
 
 
 def colour_of(text: str) -> str | None:
@@ -95,7 +130,7 @@ def pack_of(text: str) -> int | None:
     return int(next(g for g in m.groups() if g)) if m else None
 
 
-def features(product_id: str, title: str | None, brand: str | None, description: str | None, attributes: str | None) -> tuple:
+def features(product_id: str, title: str | None, brand: str | None, description: str | None, attributes: str | None, shapes: Sequence[tuple[int, int]]) -> tuple:
     """What a listing tells. Of title, facts in the description and attributes the first that tells something counts."""
     title, description = ASIDE.sub(" ", clean(title)), ASIDE.sub(" ", clean(description))
     try:
@@ -105,10 +140,10 @@ def features(product_id: str, title: str | None, brand: str | None, description:
     given = {clean(str(k)).lower(): clean(str(v)) for k, v in given.items() if v is not None} if isinstance(given, dict) else {}
     facts = " ".join(FACTS.findall(description))
     by_weight = bool(BY_WEIGHT.search(f"{title} {description}"))
-    told = codes_of(f"{title} . {description}")
-    codes = list(dict.fromkeys([*told, *(c for v in given.values() for c in codes_of(v))]))
-    edition = EDITION.search(title) or EDITION.search(" ".join(s for s in re.split(r"[.!]\s", description) if codes_of(s) or s[:1].isupper())[:300])
-    colour = colour_of(title) or colour_of(facts) or next((c for v in given.values() if len(v) < 20 and (c := colour_of(v))), None)
+    told = codes_of(f"{title} . {description}", shapes)
+    codes = list(dict.fromkeys([*told, *(c for v in given.values() for c in codes_of(v, shapes))]))
+    edition = EDITION.search(title) or EDITION.search(" ".join(s for s in re.split(r"[.!]\s", description) if s[:1].isupper() or codes_of(s, shapes)))
+    colour = colour_of(title) or colour_of(facts) or next((c for v in given.values() if len(v.split()) <= 3 and (c := colour_of(v))), None)
     sizes = sizes_of(title, by_weight)
     for text in (facts, *given.values()):
         for d, n in sizes_of(text, by_weight).items():
@@ -116,8 +151,7 @@ def features(product_id: str, title: str | None, brand: str | None, description:
     pack = pack_of(title) or next((int(v) for k, v in given.items() if k in PIECES and v.isdecimal() and 0 < int(v) < 10_000), None) or 1
     accessory = ACCESSORY.search(title)
     words = list(dict.fromkeys(w.lower() for w in _WORD.findall(f"{title} {description}") if w.lower() not in _COLOUR))
-    text = " ".join([*codes, title, description])
-    return (product_id, (brand or "").strip() or None, text.lower(), title.lower(), words, codes, edition[1].lower() if edition else "" if told else None, colour, sizes, pack, accessory[1].lower() if accessory else "")
+    return (product_id, (brand or "").strip() or None, f"{title} . {description}".lower(), " | ".join(given.values()).lower(), title.lower(), words, codes, edition[1].lower() if edition else "" if told else None, colour, sizes, pack, accessory[1].lower() if accessory else "")
 
 
 def current_attributes(products: DataFrame, versions: DataFrame) -> DataFrame:
@@ -134,11 +168,11 @@ def current_attributes(products: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def listing_features(products: DataFrame, versions: DataFrame) -> DataFrame:
-    columns = [c.split()[0] for c in FEATURES.split(", ")]
+    columns, shapes = [c.split()[0] for c in FEATURES.split(", ")], mined_shapes(products)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([features(*r) for r in pdf.itertuples(index=False, name=None)], columns=columns)
+            yield pd.DataFrame([features(*r, shapes) for r in pdf.itertuples(index=False, name=None)], columns=columns)
 
     rows = current_attributes(products, versions).select("product_id", "canonical_name", "brand", "description", "attributes")
     return rows.mapInPandas(run, FEATURES)
@@ -192,65 +226,99 @@ def routed(listings: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 class Phrases:
-    """The automaton of one brand's phrases. Series words that are a typing error of a commoner one stand for it."""
+    """The automata of one brand's phrases: codes over folded text, series words over plain text. Series words that are a typing error of a
+    commoner one stand for it; words within two errors of a word of the brand's names are none."""
 
     def __init__(self, counted: Iterable[tuple[str, int]], brand_words: set[str]) -> None:
-        self.automaton, self.meant = ahocorasick.Automaton(), {}
-        self.near: dict[str, str] = {}
-        for phrase, _ in sorted(counted, key=lambda x: (-x[1], x[0])):
+        self.codes, self.words, self.meant = ahocorasick.Automaton(), ahocorasick.Automaton(), {}
+        self.near: dict[str, list[str]] = {}
+        self.rank: dict[str, int] = {}
+        for rank, (phrase, _) in enumerate(sorted(counted, key=lambda x: (-x[1], x[0]))):
+            self.rank[phrase] = rank
             if any(c.isdigit() for c in phrase):
-                meant = phrase
-            elif any(errors(phrase, w) <= 2 for w in brand_words):
-                continue
-            else:
-                meant = self.typing(phrase) or phrase
-            self.meant[phrase] = meant
-            self.automaton.add_word(phrase.lower(), phrase)
-            if meant == phrase and not any(c.isdigit() for c in phrase):
-                for k in self.shorter(phrase):
-                    self.near.setdefault(k, phrase)
-        self.automaton.make_automaton()
+                for folded in self.folded(phrase):
+                    self.codes.add_word(folded, (*self.codes.get(folded, ()), phrase))
+            elif not any(errors(phrase, w) <= 2 for w in brand_words):
+                self.meant[phrase] = self.typing(phrase) or phrase
+                self.words.add_word(phrase, phrase)
+                if self.meant[phrase] == phrase:
+                    for k in self.shorter(phrase):
+                        self.near.setdefault(k, []).append(phrase)
+        self.codes.make_automaton()
+        self.words.make_automaton()
+
+    @staticmethod
+    def folded(code: str) -> set[str]:
+        """The forms a code may have in folded text: with a nought in between or not, a G as 6 or 9."""
+        n = len(code.rstrip("0123456789"))
+        letters = ("".join(x) for x in itertools.product(*["69" if c == "G" else c.lower().translate(_FOLD) for c in code[:n]]))
+        return {a + between + code[n:].lower().translate(_FOLD) for a in letters for between in ("", "0")}
 
     @staticmethod
     def shorter(word: str) -> set[str]:
         return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
 
     def typing(self, word: str) -> str | None:
-        """The kept word that is one typing error away; first letters agree."""
-        return next((w for k in sorted(self.shorter(word)) if (w := self.near.get(k)) and w[0] == word[0] and errors(w, word) <= 1), None)
-
-    def find(self, text: str, words: Iterable[str]) -> str | None:
-        """The longest phrase that stands in the text as a word of its own, codes first; failing that, a word one typing error away."""
+        """The kept word that is at most one typing error away; of several one with the same first letter, then the commonest."""
+        found = dict.fromkeys(w for k in sorted(self.shorter(word)) for w in self.near.get(k, ()) if errors(w, word) <= 1)
+        return min(found, key=lambda w: (w != word, w[0] != word[0], self.rank[w]), default=None)
+
+    def code_in(self, text: str) -> str | None:
+        """The longest code printed in the text, the first of several."""
+        if not len(self.codes):
+            return None
+        candidates = {c for _, held in self.codes.iter(text.translate(_FOLD)) for c in held}
+        hits = [(len(c), -m.start(), c) for c in candidates if (m := next((m for m in code_pattern(c).finditer(text) if _is_code(m, text)), None))]
+        return max(hits)[2] if hits else None
+
+    def find(self, text: str, given: str, words: Iterable[str]) -> str | None:
+        """The code in the text, else in the attributes; else the longest series word that stands in the text; failing that, a word one typing error away."""
+        if code := self.code_in(text) or self.code_in(given):
+            return code
         hits = []
-        if len(self.automaton):
-            for end, phrase in self.automaton.iter(text):
+        if len(self.words):
+            for end, phrase in self.words.iter(text):
                 start = end - len(phrase) + 1
                 if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-                    hits.append((any(c.isdigit() for c in phrase), len(phrase), -start, phrase))
+                    hits.append((len(phrase), -start, phrase))
         if hits:
-            return self.meant[max(hits)[3]]
+            return self.meant[max(hits)[2]]
         return next((w for x in words if (w := self.typing(x))), None)
 
 
 #: Listings of a brand that one task searches; a larger brand is split.
 LISTINGS_A_TASK = 20_000
+#: A word is one of a brand's names if so large a share of the brand's listings is typed with it.
+BRAND_WORD_SHARE = 0.01
 ASSIGNED = "product_id string, brand string, model string, told boolean"
 
 
-def assign_models(listings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """product_id, brand, model, told: the model each listing names, and whether its text (not only an attribute) does."""
-    sizes = listings.groupBy("brand").agg(F.ceil(F.count("*") / LISTINGS_A_TASK).cast("int").alias("parts")).filter("brand is not null")
+def brand_words(listings: DataFrame) -> DataFrame:
+    """brand, word: the words of the names a brand's listings are typed with, from all its listings."""
+    typed = listings.select("brand", "typed").dropna()
+    total = typed.groupBy("brand").agg(F.count("*").alias("of"))
+    words = typed.select("brand", F.explode(F.array_distinct(F.split(F.lower("typed"), r"[\s\-]+"))).alias("word")).filter(F.length("word") > 3)
+    counted = words.groupBy("brand", "word").agg(F.count("*").alias("n")).join(total, "brand")
+    return counted.filter(F.col("n") >= BRAND_WORD_SHARE * F.col("of")).select("brand", "word")
+
+
+def assign_models(listings: DataFrame, phrases: DataFrame, listings_a_task: int = LISTINGS_A_TASK) -> DataFrame:
+    """product_id, brand, model, told: the model each listing names, and whether its title (not only an attribute) does. A brand's phrases and words
+    are those of all its listings, so the result doesn't depend on how large brands are split."""
+    sizes = listings.groupBy("brand").agg(F.ceil(F.count("*") / listings_a_task).cast("int").alias("parts")).filter("brand is not null")
     sizes = broadcast_up_to(stored(sizes, "brand-sizes"), 50_000)
-    left = listings.select("product_id", "brand", "typed", "text", "title", "words").join(sizes, "brand").withColumn("part", F.pmod(F.xxhash64("product_id"), F.col("parts").cast("long"))).drop("parts")
-    right = phrases.join(sizes, "brand").select("brand", "phrase", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    left = listings.select("product_id", "brand", "text", "given", "title", "words").join(sizes, "brand").withColumn("part", F.pmod(F.xxhash64("product_id"), F.col("parts").cast("long"))).drop("parts")
+    # words of the brand's own names travel with its phrases, marked by a count of -1
+    known = phrases.select("brand", "phrase", "n").unionByName(brand_words(listings).select("brand", F.col("word").alias("phrase"), F.lit(-1).cast("long").alias("n")))
+    right = known.join(sizes, "brand").select("brand", "phrase", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
 
     def search(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names = own["typed"].dropna()
-        brand_words = {letters(w) for v in names[names.map(len) < 60].value_counts().index[:20] for w in re.split(r"[\s\-]+", v) if len(w) > 3}
-        phrases = Phrases(list(zip(found["phrase"], found["n"], strict=True)), brand_words)
-        models = [phrases.find(t, w) for t, w in zip(own["text"], own["words"], strict=True)]
-        told = [bool(m) and m.lower() in re.sub(r"[ \-._]", "", t) if m and any(c.isdigit() for c in m) else bool(m) for m, t in zip(models, own["title"], strict=True)]
-        return pd.DataFrame({"product_id": own["product_id"], "brand": own["brand"], "model": models, "told": told})
+        names = {letters(w) for w in found["phrase"][found["n"] < 0]}
+        found = found[found["n"] >= 0]
+        phrases = Phrases(list(zip(found["phrase"], found["n"], strict=True)), names)
+        models = [phrases.find(t, g, w) for t, g, w in zip(own["text"], own["given"], own["words"], strict=True)]
+        told = [bool(m) and (not any(c.isdigit() for c in m) or code_pattern(m).search(t) is not None) for m, t in zip(models, own["title"], strict=True)]
+        return pd.DataFrame({"product_id": own["product_id"].tolist(), "brand": own["brand"].tolist(), "model": models, "told": told}, dtype=object)
 
     return left.groupBy("brand", "part").cogroup(right.groupBy("brand", "part")).applyInPandas(search, ASSIGNED).filter("model is not null")
 

@@ -25,8 +25,8 @@ from .tokens import VOCABULARY, encode, encoding, spread
 SHARD_TOKENS = 2_000_000
 #: Length of a text's hashed term vector; texts of the sample for each shard, and at least.
 PARTS, SAMPLE_A_SHARD, SAMPLE = 256, 16, 4_000
-#: BM25's usual constants, and the number of the seed's heaviest terms that form the query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 16
+#: BM25's usual constants. A term that more than one in DENSE items of a shard hold is common.
+K1, B, DENSE = 1.2, 0.75, 20
 
 #: Stands for a null doc_id on the way through pandas, which has no null for integers.
 NO_ID = -(2**63)
@@ -166,31 +166,42 @@ def with_shards(parts: DataFrame, shard_tokens: int, capacity: int, statistics:
 
 
 class Index:
-    """An inverted index of a shard's items with BM25 weights."""
+    """An inverted index of a shard's items with BM25 weights. A query is a whole item, all of its terms: the common ones, which most items hold, are kept as a
+    dense matrix, the others as postings, so that exact scores of all items cost one product and some short additions."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, df: np.ndarray, n: int, mean: float) -> None:
-        self.terms, self.size = terms, len(terms)
+        self.size = len(terms)
         flat = np.concatenate(terms) if terms else np.zeros(0, "int32")
         tf = np.concatenate(counts).astype("float32") if counts else np.zeros(0, "float32")
         item = np.repeat(np.arange(len(terms), dtype="int32"), [len(t) for t in terms])
         idf = np.log1p((n - df[flat] + 0.5) / (df[flat] + 0.5)).astype("float32")
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean)).astype("float32")
-        order = np.argsort(flat, kind="stable")
+        # terms are numbered from the most common in this shard
+        ids, place, held = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(ids), dtype="int64")
+        rank[np.argsort(-held, kind="stable")] = np.arange(len(ids))
+        common = int(np.count_nonzero(held * DENSE > self.size))
+        place = rank[place]
+        dense = place < common
+        self.matrix = np.zeros((common, self.size), dtype="float32")
+        self.matrix[place[dense], item[dense]] = weight[dense]
+        order = np.argsort(place, kind="stable")
         self.item, self.weight = item[order], weight[order]
-        ids, starts = np.unique(flat[order], return_index=True)
-        self.at = dict(zip(ids.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True), strict=True))
-        # the heaviest terms of each item are its query
-        self.query, begin = [], 0
-        for t in terms:
-            w = weight[begin : begin + len(t)]
-            self.query.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] if len(t) else t)
-            begin += len(t)
+        self.starts = np.searchsorted(place[order], np.arange(len(ids) + 1))
+        ends = np.cumsum([len(t) for t in terms]) if terms else np.zeros(0, "int64")
+        self.queries = np.split(place, ends[:-1]) if terms else []
 
     def scores(self, k: int) -> np.ndarray:
-        out = np.zeros(self.size, dtype="float32")
-        for t in self.query[k].tolist():
-            a, b = self.at[t]
-            out[self.item[a:b]] += self.weight[a:b]
+        """The BM25 score of every item for the terms of item k."""
+        query = self.queries[k]
+        common = query[query < len(self.matrix)]
+        wanted = np.zeros(len(self.matrix), dtype="float32")
+        wanted[common] = 1.0
+        out = wanted @ self.matrix
+        spans = [(self.starts[t], self.starts[t + 1]) for t in query[query >= len(self.matrix)].tolist()]
+        if spans:
+            at = np.concatenate([self.item[a:b] for a, b in spans])
+            out += np.bincount(at, np.concatenate([self.weight[a:b] for a, b in spans]), self.size).astype("float32")
         return out
 
 

@@ -8,11 +8,11 @@ the boundary between them, and the weakest are merged first while the merged siz
 from __future__ import annotations
 
 import bisect
-import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .tokens import VOCABULARY, encode, spread, token_bytes
 
-PIECES = "doc_id long, piece_no int, n_tokens int, shared_tokens int, cut string, text string"
-ARROW = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("cut", pa.string()), ("text", pa.string())])
+PIECES = "doc_id long, piece_no int, n_tokens int, shared_tokens int, cut string, first_char int, n_chars int, text string"
+ARROW = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("cut", pa.string()), ("first_char", pa.int32()), ("n_chars", pa.int32()), ("text", pa.string())])
 
 #: Boundaries from strong to weak; a boundary lies at the end of a match.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, MARK, FORCED = 6, 5, 4, 3, 2, 1, 0
@@ -37,32 +37,47 @@ _WEAK = (
 )
 
 
-@functools.cache
-def _runs(least: int) -> regex.Pattern:
-    """Stretches of letters and digits of at least so many characters."""
-    return regex.compile(rf"(?<![\p{{L}}\p{{N}}\p{{M}}])[\p{{L}}\p{{N}}\p{{M}}]{{{least},}}")
-
+#: A stretch of letters and digits, and a blank at which the tokenizer starts anew whatever stands around it.
+_RUN, _SEAM = regex.compile(r"[\p{L}\p{N}\p{M}]+"), regex.compile(r"(?<=[\p{L}\p{N}\p{P}]) (?=\p{L})")
 
 
 class _Sized:
-    """A text with its tokens; positions are bytes of its UTF-8 form that no token and no character crosses."""
+    """A text with its tokens. Positions are characters; `at` gives the byte of each."""
 
     def __init__(self, text: str, ids: list[int], path: str) -> None:
-        self.raw = text.encode("utf-8")
+        self.text, self.path = text, path
         self.ends = list(accumulate(map(token_bytes(path).__getitem__, ids)))  # byte at which each token ends
-
-    def size(self, a: int, b: int) -> int:
-        """Tokens that lie, even in part, in the bytes a to b."""
-        return bisect.bisect_left(self.ends, b) - bisect.bisect_right(self.ends, a) + 1 if b > a else 0
-
-    def back(self, at: int, tokens: int) -> int:
-        """The byte from which `tokens` tokens lead to `at`; a few more where a character would be cut."""
-        k = bisect.bisect_right(self.ends, at - 1) - tokens  # the token that holds at - 1 ends at ends[k + tokens]
-        start = self.ends[k] if k >= 0 else 0
-        while start > 0 and (self.raw[start] & 0xC0) == 0x80:
-            k -= 1
-            start = self.ends[k] if k >= 0 else 0
-        return start
+        if text.isascii():
+            self.at: Sequence[int] = range(len(text) + 1)
+        else:
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype="uint32")
+            widths = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+            self.at = [0, *np.cumsum(widths).tolist()]
+
+    def low(self, a: int) -> int:
+        """The first token that holds something from character a on."""
+        return bisect.bisect_right(self.ends, self.at[a])
+
+    def high(self, b: int) -> int:
+        """The last token that holds something before character b."""
+        return bisect.bisect_left(self.ends, self.at[b])
+
+    def back(self, b: int, tokens: int) -> int:
+        """The character from which `tokens` tokens lead to b; a few more where a character would be cut."""
+        k = self.high(b) - tokens
+        return bisect.bisect_right(self.at, self.ends[k]) - 1 if k >= 0 and b else 0
+
+    def alone(self, a: int, b: int) -> int:
+        """Tokens of the characters a to b as a text by itself. Only what lies before the first and after the last seam can differ from the whole text's tokens."""
+        if a == 0 and b == len(self.text):
+            return len(self.ends)
+        first, last = _SEAM.search(self.text, a + 1, b), None
+        for m in _SEAM.finditer(self.text, max(a + 1, b - 120), b):
+            last = m
+        if first is None or last is None or last.start() <= first.start():
+            return len(encode(self.text[a:b], self.path))
+        p, q = first.start(), last.start()
+        return len(encode(self.text[a:p], self.path)) + self.low(q) - self.low(p) + len(encode(self.text[q:b], self.path))
 
 
 def _cuts(text: str, patterns: tuple) -> dict[int, int]:
@@ -76,123 +91,112 @@ def _cuts(text: str, patterns: tuple) -> dict[int, int]:
     return found
 
 
-def _atoms(text: str, sized: _Sized, capacity: int) -> list[tuple[int, int, int]]:
-    """(start byte, end byte, strength of the boundary at its start), each at most capacity tokens."""
-    out: list[tuple[int, int, int]] = []
-
-    def add(piece: str, start: int, strength: int, level: int) -> None:
-        end = start + len(piece.encode("utf-8"))
-        if sized.size(start, end) <= capacity:
-            out.append((start, end, strength))
-            return
-        if level < len(_WEAK):
-            cuts = _cuts(piece, (_WEAK[level],))
-        else:  # between characters, at the token that fills the capacity
-            at = bisect.bisect_right(sized.ends, start) + capacity - 2
-            cut = sized.ends[at]
-            while (sized.raw[cut] & 0xC0) == 0x80 and at > 0:
-                at -= 1
-                cut = sized.ends[at]
-            if cut <= start:  # a single character of more tokens than fit: kept whole
-                cut = start + len(piece[0].encode("utf-8"))
-            n = len(sized.raw[start:cut].decode("utf-8"))
-            while len(piece) > n > 0:
-                out.append((start, cut, strength))
-                piece, start, strength = piece[n:], cut, FORCED
-                if sized.size(start, end) <= capacity:
-                    break
-                at = bisect.bisect_right(sized.ends, start) + capacity - 2
-                cut = sized.ends[min(at, len(sized.ends) - 1)]
-                while cut < len(sized.raw) and (sized.raw[cut] & 0xC0) == 0x80 and cut > start:
-                    at -= 1
-                    cut = sized.ends[at]
-                if cut <= start:
-                    cut = start + len(piece[0].encode("utf-8"))
-                n = len(sized.raw[start:cut].decode("utf-8"))
-            if piece:
-                out.append((start, end, strength))
-            return
-        first = strength
-        at, begin = 0, start
-        for cut, s in [*sorted(cuts.items()), (len(piece), None)]:
-            part = piece[at:cut]
-            add(part, begin, first, level + 1)
-            begin += len(part.encode("utf-8"))
-            at, first = cut, s
-        return
-
-    at, begin, first = 0, 0, PARAGRAPH
-    for cut, s in [*sorted(_cuts(text, _STRONG).items()), (len(text), None)]:
-        part = text[at:cut]
-        add(part, begin, first, 0)
-        begin += len(part.encode("utf-8"))
-        at, first = cut, s
-    return out
-
-
-def merge(sizes: list[tuple[int, int, int]], size, capacity: int, first_capacity: int) -> list[tuple[int, int]]:
-    """Spans of merged segments, in order. The first span has no overlap before it."""
-    n = len(sizes)
-    start, end = [a for a, _, _ in sizes], [b for _, b, _ in sizes]
-    strength = [s for _, _, s in sizes]
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-
-    def room(k: int) -> int:
-        return first_capacity if start[k] == 0 else capacity
-
-    heap = [(strength[k], size(start[k - 1], end[k]), k - 1, k, end[k]) for k in range(1, n)]
-    heapq.heapify(heap)
+def _atoms(sized: _Sized, capacity: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """(atoms, forced): atoms (first character, end, strength of the boundary at its start, first and last token), each of at most capacity tokens; the
+    segments that had to be cut between characters."""
+    out: list[tuple[int, int, int, int, int]] = []
+    forced: list[tuple[int, int]] = []
+
+    def add(a: int, b: int, strength: int, level: int) -> None:
+        low, high = sized.low(a), sized.high(b)
+        if high - low < capacity:
+            out.append((a, b, strength, low, high))
+        elif level < len(_WEAK):
+            refine(a, b, strength, _cuts(sized.text[a:b], (_WEAK[level],)), level + 1)
+        else:
+            forced.append((a, b))
+            while high - low >= capacity:
+                cut = max(a + 1, bisect.bisect_right(sized.at, sized.ends[low + capacity - 2]) - 1)
+                out.append((a, cut, strength, low, sized.high(cut)))
+                a, strength = cut, FORCED
+                low = sized.low(a)
+            if a < b:
+                out.append((a, b, strength, low, high))
+
+    def refine(a: int, b: int, strength: int, cuts: dict[int, int], level: int) -> None:
+        begin = a
+        for cut, following in [*sorted(cuts.items()), (b - a, 0)]:
+            add(begin, a + cut, strength, level)
+            begin, strength = a + cut, following
+
+    refine(0, len(sized.text), PARAGRAPH, _cuts(sized.text, _STRONG), 0)
+    return out, forced
+
+
+def merge(strength: list[int], low: list[int], high: list[int], capacity: int, first_capacity: int) -> list[tuple[int, int]]:
+    """Runs of merged atoms (first, last), in order. Atom k holds the tokens low[k] to high[k], and strength[k] is that of the boundary before it.
+    The weakest boundaries go first, of equal ones those with the smallest merged size. The first run has no overlap before it."""
+    n = len(strength)
+    last, after, before = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+
+    def push(left: int, right: int) -> None:
+        total = high[last[right]] - low[left] + 1
+        if total <= (capacity if left else first_capacity):
+            heapq.heappush(heap, (strength[right], total, left, right, last[right]))
+
+    heap: list[tuple[int, int, int, int, int]] = []
+    for k in range(1, n):
+        push(k - 1, k)
     while heap:
-        _, total, left, right, until = heapq.heappop(heap)
+        _, _, left, right, until = heapq.heappop(heap)
         # a pair is stale if either side has merged since
-        if not alive[left] or not alive[right] or after[left] != right or until != end[right] or total > room(left):
+        if not alive[left] or not alive[right] or after[left] != right or last[right] != until:
             continue
-        end[left], alive[right], after[left] = end[right], False, after[right]
+        last[left], alive[right], after[left] = last[right], False, after[right]
         if after[left] < n:
-            nxt = after[left]
-            before[nxt] = left
-            heapq.heappush(heap, (strength[nxt], size(start[left], end[nxt]), left, nxt, end[nxt]))
+            before[after[left]] = left
+            push(left, after[left])
         if before[left] >= 0:
-            prev = before[left]
-            heapq.heappush(heap, (strength[left], size(start[prev], end[left]), prev, left, end[left]))
-    return [(start[k], end[k]) for k in range(n) if alive[k]]
+            push(before[left], left)
+    return [(k, last[k]) for k in range(n) if alive[k]]
 
 
-def has_long_run(text: str, limit: int, path: str = VOCABULARY) -> bool:
-    """Whether a stretch of letters and digits is by itself larger than limit tokens."""
-    # a character is at most four tokens
-    return any(len(encode(m.group(), path)) > limit for m in _runs(limit // 4 + 1).finditer(text))
+def _pieces(text: str, limit: int, overlap: int, path: str) -> tuple[list[tuple[int, int, int, int]], str]:
+    """(pieces, cut): pieces (first character, end, tokens, tokens shared with the one before) and how the text was cut."""
+    ids = encode(text, path)
+    if len(ids) <= limit:
+        return [(0, len(text), len(ids), 0)], "whole"
+    sized = _Sized(text, ids, path)
+    slack = 4  # for characters that span tokens
+    capacity = limit - overlap - slack
+    atoms, forced = _atoms(sized, capacity)
+    first, end, strength, low, high = (list(c) for c in zip(*atoms, strict=True))
+    todo = [(first[a], end[b]) for a, b in reversed(merge(strength, low, high, capacity, limit - slack))]
+    out: list[tuple[int, int, int, int]] = []
+    while todo:
+        a, b = todo.pop()
+        begin = sized.back(a, overlap) if a else a
+        n = sized.alone(begin, b)
+        if n > limit and b - a > 1:
+            # by itself the piece has more tokens than in the text: it is cut once more, at an atom's end near its middle or else between characters
+            k = bisect.bisect_left(first, (a + b) // 2)
+            middle = first[k] if k < len(first) and a < first[k] < b else (a + b) // 2
+            if first[min(k, len(first) - 1)] != middle:
+                forced.append((a, b))
+            todo += [(middle, b), (a, middle)]
+            continue
+        out.append((begin, b, n, sized.high(a) - sized.low(begin) + 1 if a else 0))
+    # a stretch between the room beside the overlap and the limit is cut too, but isn't larger than the limit
+    large = any(len(encode(m.group(), path)) > limit for a, b in forced for m in _RUN.finditer(text, a, b) if 4 * (m.end() - m.start()) > limit)
+    return out, "forced" if large else "boundary"
 
 
 def split(text: str, limit: int = 512, overlap: int = 64, path: str = VOCABULARY) -> list[tuple[str, int, int]]:
     """(piece, tokens, tokens shared with the piece before). A text within the limit is one piece.
 
     Each piece holds at most `limit` of the text's tokens, and as text by itself at most `limit` too; every character is
-    in a piece. Consecutive pieces share `overlap` tokens, up to three more where the cut would fall inside a character.
+    in a piece. Consecutive pieces share `overlap` tokens, up to three more where the cut would fall inside a character. A single character
+    of more tokens than fit beside the overlap is kept whole.
     """
-    ids = encode(text, path)
-    if len(ids) <= limit:
-        return [(text, len(ids), 0)]
-    sized = _Sized(text, ids, path)
-    slack = 4  # for characters that span tokens
-    while True:
-        capacity = limit - overlap - slack
-        spans = merge(_atoms(text, sized, capacity), sized.size, capacity, limit - slack)
-        pieces = []
-        for k, (a, b) in enumerate(spans):
-            begin = sized.back(a, overlap) if k else a
-            piece = sized.raw[begin:b].decode("utf-8")
-            pieces.append((piece, len(encode(piece, path)), sized.size(begin, a)))
-        if all(n <= limit for _, n, _ in pieces) or slack > limit // 4:
-            return pieces
-        slack *= 2  # text cut anew may tokenise into more
-
-
-def split_documents(docs: DataFrame, limit: int = 512, overlap: int = 64, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """The pieces of all documents: doc_id, piece_no, n_tokens, shared_tokens, cut, text; no shuffle of the pieces.
-
-    cut is `whole` for a document within the limit, `forced` if some stretch of letters and digits is by itself larger than
-    the limit, else `boundary`. Null texts have no piece, empty ones an empty piece. A repeated row repeats its pieces.
+    return [(text[a:b], n, shared) for a, b, n, shared in _pieces(text, limit, overlap, path)[0]]
+
+
+def split_documents(docs: DataFrame, limit: int = 512, overlap: int = 64, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, with_text: bool = True) -> DataFrame:
+    """The pieces of all documents: doc_id, piece_no, n_tokens, shared_tokens, cut, first_char, n_chars, text; no shuffle of the pieces.
+
+    cut is `whole` for a document within the limit, `forced` if the splitter had to cut inside a stretch of letters and digits that is by itself larger than
+    the limit, else `boundary`. Null texts have no piece, empty ones an empty piece. A repeated row repeats its pieces. Without with_text the text is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +205,8 @@ def split_documents(docs: DataFrame, limit: int = 512, overlap: int = 64, key: s
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t is None:
                     continue
-                pieces = split(t, limit, overlap, path)
-                cut = "whole" if len(pieces) == 1 and pieces[0][1] <= limit else "forced" if has_long_run(t, limit, path) else "boundary"
-                rows += [(doc, k, n, shared, cut, piece) for k, (piece, n, shared) in enumerate(pieces)]
+                pieces, cut = _pieces(t, limit, overlap, path)
+                rows += [(doc, k, n, shared, cut, a, b - a, t[a:b] if with_text else None) for k, (a, b, n, shared) in enumerate(pieces)]
                 held += len(t)
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)

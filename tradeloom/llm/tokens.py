@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 VOCABULARY = os.environ.get("TRADELOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how byte-level BPE splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are tokenised in stretches of so many characters, which bounds the time of a merge.
-STRETCH = 50_000
+#: Runs of blanks too long for the tokenizer's pattern matcher, which goes through them recursively.
+LONG_BLANKS = regex.compile(r"\p{White_Space}{20000,}")
 
 
 @functools.cache
@@ -35,13 +36,19 @@ def token_bytes(path: str = VOCABULARY) -> list[int]:
 
 
 def encode(text: str | None, path: str = VOCABULARY) -> list[int]:
-    """Token ids of the whole text; none for null."""
+    """Token ids of the whole text, as the tokenizer gives them at any length; none for null. A long run of blanks is one piece before merging (but for
+    its last blank, where more text follows), so the text is cut at its ends, which changes no token."""
     if not text:
         return []
     enc = encoding(path)
-    if len(text) <= STRETCH:
+    if len(text) < 20_000 or not (runs := list(LONG_BLANKS.finditer(text))):
         return enc.encode_ordinary(text)
-    return [t for k in range(0, len(text), STRETCH) for t in enc.encode_ordinary(text[k : k + STRETCH])]
+    out, at = [], 0
+    for m in runs:
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()]) + enc._core_bpe.encode_single_piece(text[m.start() : end].encode("utf-8"))
+        at = end
+    return out + enc.encode_ordinary(text[at:])
 
 
 def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
