@@ -50,8 +50,7 @@ FACTS = re.compile(r"(?:specification|daten|fiche)\s*:(.*?)(?=[.!?]\s+(?-i:[A-Z
 _UNIT = "|".join(sorted((re.escape(u) for d in UNITS.values() for u in d if u != "floz"), key=len, reverse=True))
 SIZE = re.compile(rf"(?<![\w.,])(\d+(?:[.,]\d+)?)\s*(?:(fl\.?\s*oz|oz)|({_UNIT}))(?![^\W\d_])", re.I)
 _TO_LETTERS, _TO_DIGITS = str.maketrans("0125689", "OIZSGBG"), str.maketrans("OSBIGZ", "058162")
-#: Characters that stand for a letter or a digit of a code, and how texts are folded for the search: look-alikes as one, separators left out.
-_LOOKALIKES = {"O": "O0", "I": "I1", "Z": "Z2", "S": "S5", "G": "G69", "B": "B8", "0": "0O", "1": "1I", "2": "2Z", "5": "5S", "6": "6G", "8": "8B"}
+#: How texts are folded for the search of codes: look-alikes as one, separators left out.
 _FOLD = str.maketrans("oiszbg", "015286", " -._")
 _NO_UNIT = rf"(?!\s*(?:{_UNIT}|OZ|FL\.? ?OZ)(?![A-Z]))"
 _COLOUR = {w: c for c, ws in COLOURS.items() for w in ws.split()}
@@ -87,15 +86,6 @@ def shape_pattern(letters: int, digits: int) -> re.Pattern:
     return re.compile(rf"(?<![A-Z0-9])([A-Z0-9]{{{letters}}})[ \-._]?0?([0-9OSBIGZ]{{{half}}} ?[0-9OSBIGZ]{{{digits - half}}})(?![A-Z0-9]){_NO_UNIT}", re.I)
 
 
-@functools.lru_cache(50_000)
-def code_pattern(code: str) -> re.Pattern:
-    """One code, however it is printed."""
-    n = len(code.rstrip("0123456789"))
-    a, b = ([f"[{_LOOKALIKES.get(c, c)}]" for c in part] for part in (code[:n], code[n:]))
-    half = len(b) // 2
-    return re.compile(rf"(?<![A-Z0-9])({''.join(a)})[ \-._]?0?({''.join(b[:half])} ?{''.join(b[half:])})(?![A-Z0-9]){_NO_UNIT}", re.I)
-
-
 def _is_code(m: re.Match, text: str) -> bool:
     """Letters and digits are not all look-alikes, and the letters are no colour before a number."""
     return bool(re.search("[A-Z]", m[1], re.I) and re.search("[0-9]", m[2])) and not (m[1].lower() in _COLOUR and text[m.end(1)] not in "-._")
@@ -107,6 +97,11 @@ def codes_of(text: str, shapes: Sequence[tuple[int, int]]) -> list[str]:
     return [c for _, c in sorted(found)]
 
 
+def shape_of(code: str) -> tuple[int, int]:
+    n = len(code.rstrip("0123456789"))
+    return n, len(code) - n
+
+
 def colour_of(text: str) -> str | None:
     return next((_COLOUR[w] for w in re.findall(r"[^\W\d_]+", text.lower()) if w in _COLOUR), None)
 
@@ -250,7 +245,7 @@ class Phrases:
     @staticmethod
     def folded(code: str) -> set[str]:
         """The forms a code may have in folded text: with a nought in between or not, a G as 6 or 9."""
-        n = len(code.rstrip("0123456789"))
+        n, _ = shape_of(code)
         letters = ("".join(x) for x in itertools.product(*["69" if c == "G" else c.lower().translate(_FOLD) for c in code[:n]]))
         return {a + between + code[n:].lower().translate(_FOLD) for a in letters for between in ("", "0")}
 
@@ -264,12 +259,10 @@ class Phrases:
         return min(found, key=lambda w: (w != word, w[0] != word[0], self.rank[w]), default=None)
 
     def code_in(self, text: str) -> str | None:
-        """The longest code printed in the text, the first of several."""
-        if not len(self.codes):
+        """The longest known code in the text, the first of several. What the automaton finds in the folded text is checked for how it is printed."""
+        if not len(self.codes) or not (found := {c for _, held in self.codes.iter(text.translate(_FOLD)) for c in held}):
             return None
-        candidates = {c for _, held in self.codes.iter(text.translate(_FOLD)) for c in held}
-        hits = [(len(c), -m.start(), c) for c in candidates if (m := next((m for m in code_pattern(c).finditer(text) if _is_code(m, text)), None))]
-        return max(hits)[2] if hits else None
+        return max((c for c in codes_of(text, list({shape_of(c) for c in found})) if c in found), key=len, default=None)
 
     def find(self, text: str, given: str, words: Iterable[str]) -> str | None:
         """The code in the text, else in the attributes; else the longest series word that stands in the text; failing that, a word one typing error away."""
@@ -317,7 +310,7 @@ def assign_models(listings: DataFrame, phrases: DataFrame, listings_a_task: int
         found = found[found["n"] >= 0]
         phrases = Phrases(list(zip(found["phrase"], found["n"], strict=True)), names)
         models = [phrases.find(t, g, w) for t, g, w in zip(own["text"], own["given"], own["words"], strict=True)]
-        told = [bool(m) and (not any(c.isdigit() for c in m) or code_pattern(m).search(t) is not None) for m, t in zip(models, own["title"], strict=True)]
+        told = [bool(m) and (not any(c.isdigit() for c in m) or m in codes_of(t, [shape_of(m)])) for m, t in zip(models, own["title"], strict=True)]
         return pd.DataFrame({"product_id": own["product_id"].tolist(), "brand": own["brand"].tolist(), "model": models, "told": told}, dtype=object)
 
     return left.groupBy("brand", "part").cogroup(right.groupBy("brand", "part")).applyInPandas(search, ASSIGNED).filter("model is not null")
