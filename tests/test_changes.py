@@ -1,3 +1,4 @@
+import json
 import datetime as dt
 import random
 
@@ -94,7 +95,33 @@ def test_run_twice_changes_nothing(spark):
     assert (one.seen, one.new, one.changed, one.unchanged, one.failed, one.over_budget) == (81, 40, 40, 0, 1, False)
     two = process_run(df, m, store, max_error_rate=0.001, min_rows=10)
     assert (two.new, two.changed, two.unchanged, two.over_budget) == (0, 0, 80, True)
-    assert store.read("versions").count() == 80 and store.read("events").count() == 80 and store.read("state").count() == 40
+    assert store.read("product_versions").count() == 80 and store.read("outbox_events").count() == 80 and store.read("state").count() == 40
+    assert len(store.manifest()["tables"]["product_versions"]) == 2  # added to, not written anew
+    assert store.read("products").count() == 40 == store.read("product_sources").filter("last_changed_at is not null").count()
+    kinds = {(r.change_type, tuple(r.changed_fields)) for r in store.read("product_changes").collect()}
+    assert kinds == {("NEW", ()), ("CHANGED", ("canonical_name",))}
+    body = json.loads(store.read("outbox_events").first().payload)
+    assert list(body) == ["product_id", "version_id", "version_number", "fingerprint", "change_type", "changed_fields"]
+
+
+def test_old_fingerprints_are_adopted_and_pages_agree(spark):
+    schema = "source_id string, external_product_id string, id string, payload string, source_updated_at timestamp_ntz, received_at timestamp_ntz, payload_raw binary"
+    m = FieldMapping("title", None, "vendor")
+    rows = [("s", "a", "r1", payload("n"), T[0], T[0], None), ("s", "b", "r2", payload("n"), T[0], T[0], b"\xff{}")]
+    store = SnapshotStore(spark, scratch(spark, "store"))
+    assert process_run(spark.createDataFrame(rows, schema), m, store).failed == 1
+    # the fingerprint of an older scheme, whose version gives today's one
+    old = store.read("state").withColumn("s_fp", F.lit("old"))
+    store.publish({"state": old}, store.manifest()["id"])
+    again = process_run(spark.createDataFrame([("s", "a", "r3", payload("n"), T[1], T[1], None)], schema), m, store)
+    assert (again.new, again.changed, again.unchanged) == (0, 0, 1)
+    state = store.read("state").first()
+    assert state.s_fp.startswith("v1:") and state.s_version == 1 and store.read("product_versions").count() == 1
+    many = spark.createDataFrame([("s", str(k), f"r{k:03}{j}", payload(f"{k}{j}"), T[j], T[j], None) for k in range(12) for j in range(2)], schema)
+    one, paged = SnapshotStore(spark, scratch(spark, "one")), SnapshotStore(spark, scratch(spark, "paged"))
+    assert process_run(many, m, one) == process_run(many, m, paged, page_size=12)
+    heads = lambda s: sorted((r.canonical_name, r.current_fingerprint) for r in s.read("products").collect())
+    assert heads(one) == heads(paged) and len(heads(one)) == 12
 
 
 def test_states_and_budget(spark):

@@ -20,17 +20,17 @@ def rate(i, code, origin, kind="MFN", mcode=None, rtype="AD_VALOREM", pct="5", s
 
 
 def resolved(spark, rates, queries):
-    sets = spark.createDataFrame([("d", "EU", TS(2025, 1, 1), None)], "id string, jurisdiction string, activated_at timestamp_ntz, superseded_at timestamp_ntz")
+    sets = spark.createDataFrame([("d", "EU", "TARIFF", TS(2026, 3, 1), TS(2025, 1, 1), None), ("j", "JP", "TARIFF", TS(2026, 2, 28, 23), TS(2025, 1, 1), None)], "id string, jurisdiction string, category string, fetched_at timestamp_ntz, activated_at timestamp_ntz, superseded_at timestamp_ntz")
     q = spark.createDataFrame([(k, j, o, c, TS(2026, 3, 1), TS(2026, 3, 2)) for k, (j, o, c) in enumerate(queries)], "query_id long, jurisdiction string, origin string, hs_code string, transaction_at timestamp_ntz, evaluated_at timestamp_ntz")
-    out = resolve_tariffs(q, spark.createDataFrame(rates, RATE), sets).orderBy("query_id").collect()
+    out = resolve_tariffs(q, spark.createDataFrame(rates, RATE), sets, 24).orderBy("query_id").collect()
     return [r.hold_reason or (r.n_measures, float(r.ad_valorem_percent)) for r in out]
 
 
 def test_resolution(spark):
     rates = [rate("a", "85", "*", pct="10"), rate("b", "8516", "*", pct="8"), rate("c", "85", "CN", pct="3"), rate("d", "8516", "*", "ADDITIONAL_DUTY", "X", pct="1.5"), rate("e", "90", "*"), rate("f", "90", "*"), rate("g", "91", "*", rtype="UNSUPPORTED_MEASURE", pct=None), rate("h", "92", "*", "ADDITIONAL_DUTY", "X"), rate("p", "8516", "CN", "PREFERENTIAL", "P", pct="0")]
-    got = resolved(spark, rates, [("EU", "CN", "8516.10"), ("EU", "VN", "8516"), ("EU", "VN", "90"), ("EU", "VN", "91"), ("EU", "VN", "92"), ("US", "VN", "85"), ("EU", "VN", "8"), ("EU", None, "85"), ("EU", "VN", "77")])
+    got = resolved(spark, rates, [("EU", "CN", "8516.10"), ("EU", "VN", "8516"), ("EU", "VN", "90"), ("EU", "VN", "91"), ("EU", "VN", "92"), ("US", "VN", "85"), ("EU", "VN", "8"), ("EU", None, "85"), ("EU", "VN", "77"), ("EU", "DE", "85"), ("JP", "CN", "85"), ("US", "US", "85")])
     # an own-origin rule of a short code beats an any-origin rule of a longer one
-    assert got == [(2, 4.5), (2, 9.5), "AMBIGUOUS_TARIFF", "UNSUPPORTED_MEASURE", "NO_TARIFF_RATE", "NO_COVERAGE", "INVALID_QUERY", "INVALID_QUERY", "NO_TARIFF_RATE"]
+    assert got == [(2, 4.5), (2, 9.5), "AMBIGUOUS_TARIFF", "UNSUPPORTED_MEASURE", "NO_TARIFF_RATE", "NO_REGULATORY_COVERAGE", "INVALID_QUERY", "INVALID_QUERY", "NO_TARIFF_RATE", "INVALID_QUERY", "STALE_REGULATORY_DATA", "INVALID_QUERY"]
 
 
 def test_overlaps_and_constraints(spark):

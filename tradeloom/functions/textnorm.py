@@ -179,8 +179,9 @@ def fingerprint(name: str, description: str | None, brand: str | None, origin_co
 NORMALISED = "error string, name string, description string, brand string, origin_country string, attributes map<string,string>, fingerprint string"
 
 
-def with_normalised(records: DataFrame, mapping: FieldMapping, payload: str = "payload") -> DataFrame:
-    """records with a struct `product` (NORMALISED); error is null for a good record, else its kind, and the rest is null."""
+def with_normalised(records: DataFrame, mapping: FieldMapping, payload: str = "payload", raw: str = "payload_raw") -> DataFrame:
+    """records with a struct `product` (NORMALISED); error is null for a good record, else its kind, and the rest is null. Where the exact bytes are
+    kept beside the payload, bytes that are no UTF-8 make the record malformed."""
 
     @F.pandas_udf(NORMALISED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -195,7 +196,10 @@ def with_normalised(records: DataFrame, mapping: FieldMapping, payload: str = "p
                     rows.append((e.kind, None, None, None, None, None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NORMALISED.split(", ")])
 
-    return records.withColumn("product", run(F.col(payload)))
+    text = F.col(payload)
+    if raw in records.columns:
+        text = F.when(F.col(raw).isNull() | F.is_valid_utf8(F.col(raw).cast("string")), text)
+    return records.withColumn("product", run(text))
 
 
 def version_fingerprint(name: Column, description: Column, brand: Column, origin: Column, attributes_json: Column) -> Column:
@@ -228,6 +232,25 @@ def collapse_text(c: Column) -> Column:
     return F.when(ascii_only, collapse_native(c)).otherwise(run(F.when(~ascii_only, c)))
 
 
-def changed_fields(old: dict[str, Column], new: dict[str, Column]) -> Column:
-    """The sorted names of the fields that differ, nulls being values; both sides map the same names to canonical columns."""
-    return F.array_compact(F.array(*[F.when(~old[k].eqNullSafe(new[k]), F.lit(k)) for k in sorted(old)]))
+CANON = ["attributes", "brand", "canonical_name", "description", "origin_country"]
+
+
+def canonical_fields(name: Column, description: Column, brand: Column, origin: Column, attributes_json: Column) -> Column:
+    """A struct of strings (CANON) that are equal exactly where the fields are, for the fingerprint: names of brand and attributes folded, attributes
+    in the order of their names, nothing for nulls. Attributes without value don't count."""
+
+    @F.pandas_udf("attributes string, brand string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for brands, given in batches:
+            maps = [json.loads(g) if g else {} for g in given]
+            texts = [json.dumps(sorted((fold(k), v) for k, v in m.items() if v is not None), ensure_ascii=False) if m else "" for m in maps]
+            yield pd.DataFrame({"attributes": ["" if t == "[]" else t for t in texts], "brand": [fold(b or "") for b in brands]})
+
+    folded = run(brand, attributes_json)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(folded["attributes"].alias("attributes"), folded["brand"].alias("brand"), text(name).alias("canonical_name"), text(description).alias("description"), text(origin).alias("origin_country"))
+
+
+def changed_fields(old: Column, new: Column) -> Column:
+    """The sorted names of the canonical fields that differ."""
+    return F.array_compact(F.array(*[F.when(~old[k].eqNullSafe(new[k]), F.lit(k)) for k in CANON]))

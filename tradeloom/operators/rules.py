@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import country, hs_code, hs_prefixes, in_force, utc_date
+from ..functions.codes import country, hs_code, hs_prefixes, in_force, jurisdiction, utc_date
+from ..session import broadcast_up_to, stored
+
+#: The reasons for which no rate is given.
+NO_COVERAGE, STALE_DATA, NO_RATE, AMBIGUOUS, UNSUPPORTED = "NO_REGULATORY_COVERAGE", "STALE_REGULATORY_DATA", "NO_TARIFF_RATE", "AMBIGUOUS_TARIFF", "UNSUPPORTED_MEASURE"
 
 #: Rule tables are versions of published books; beyond so many rows they are joined by shuffle.
 MAX_BROADCAST = 500_000
@@ -24,14 +28,19 @@ def supersession(datasets: DataFrame) -> DataFrame:
     return datasets.filter("activated_at is not null").withColumn("closed_at", F.lead("activated_at").over(w))
 
 
-def freshness(datasets: DataFrame, at: str, sla_hours: int) -> DataFrame:
-    """jurisdiction, datasets in force, whether any is older than the SLA (exactly as old is fresh), and the hold reason."""
-    age = F.lit(at).cast("timestamp_ntz") - F.col("fetched_at")
-    g = datasets.groupBy("jurisdiction").agg(
-        F.count_if(in_force(F.col("activated_at"), F.col("superseded_at"), F.lit(at).cast("timestamp_ntz"))).alias("in_force"),
-        F.coalesce(F.bool_or(F.when(in_force(F.col("activated_at"), F.col("superseded_at"), F.lit(at).cast("timestamp_ntz")), age > F.make_dt_interval(hours=F.lit(sla_hours)))), F.lit(False)).alias("stale"),
-    )
-    return g.withColumn("hold_reason", F.when(F.col("in_force") == 0, "NO_COVERAGE").when(F.col("stale"), "STALE_COVERAGE"))
+def freshness(datasets: DataFrame, at: str, sla_hours: Mapping[str, int]) -> DataFrame:
+    """jurisdiction, category, datasets in force, whether any is older than its category's SLA (exactly as old is fresh), and the hold reason. Every
+    category of the datasets needs a positive SLA; one without counts as stale at any age."""
+    if not sla_hours or min(sla_hours.values()) <= 0:
+        raise ValueError("every SLA must be greater than zero")
+    held = in_force(F.col("activated_at"), F.col("superseded_at"), F.lit(at).cast("timestamp_ntz"))
+    g = datasets.groupBy("jurisdiction", "category").agg(F.count_if(held).alias("in_force"), F.coalesce(F.bool_or(F.when(held, _too_old(F.lit(at).cast("timestamp_ntz"), sla_hours))), F.lit(False)).alias("stale"))
+    return g.withColumn("hold_reason", F.when(F.col("in_force") == 0, NO_COVERAGE).when(F.col("stale"), STALE_DATA))
+
+
+def _too_old(at: Column, sla_hours: Mapping[str, int]) -> Column:
+    sla = F.coalesce(*[F.when(F.col("category") == c, F.make_dt_interval(hours=F.lit(h))) for c, h in sla_hours.items()], F.make_dt_interval(hours=F.lit(-1)))
+    return at - F.col("fetched_at") > sla
 
 
 def overlaps(rules: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -43,26 +52,25 @@ def overlaps(rules: DataFrame, keys: Sequence[str], start: str, end: str) -> Dat
     return rules.withColumn("earlier_until", until).filter(F.col(start) < F.col("earlier_until"))
 
 
-def prefix_join(queries: DataFrame, rules: DataFrame, code: str, rule_code: str) -> DataFrame:
-    """queries with the rules of their code or a leading part of it: equal keys after exploding, no range join."""
-    small = F.broadcast(rules) if rules.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else rules
-    return queries.withColumn("prefix", F.explode(hs_prefixes(F.col(code)))).join(small, F.col("prefix") == F.col(rule_code))
-
-
 def parsed_queries(queries: DataFrame) -> DataFrame:
-    """query_id, jurisdiction, code, origin, on_date, evaluated_at; invalid codes and origins are null."""
-    return queries.select("query_id", "jurisdiction", hs_code(F.col("hs_code")).alias("code"), country(F.col("origin")).alias("q_origin"), utc_date(F.col("transaction_at")).alias("on_date"), "evaluated_at")
+    """query_id, jurisdiction, code, origin, on_date, evaluated_at; invalid codes and origins are null, as are origins that aren't imported into the jurisdiction
+    (its own, and its members')."""
+    origin = country(F.col("origin"))
+    origin = F.when(jurisdiction(origin) != F.col("jurisdiction"), origin)
+    return queries.select("query_id", "jurisdiction", hs_code(F.col("hs_code")).alias("code"), origin.alias("q_origin"), utc_date(F.col("transaction_at")).alias("on_date"), "evaluated_at")
 
 
 def candidates(queries: DataFrame, rates: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Rates that may apply to each query: published when it was evaluated, valid on its date, of its code's leading parts, its origin or any."""
+    """Rates that may apply to each query: published when it was evaluated, valid on its date, of its code's leading parts, its origin or any. The rates are joined
+    by equal (jurisdiction, code, origin), a row of the query for each leading part and for each of its origin and `*`."""
     d = datasets.select(F.col("id").alias("dataset_id"), F.col("jurisdiction").alias("d_jurisdiction"), "activated_at", "superseded_at")
-    r = rates.join(F.broadcast(d) if d.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else d, "dataset_id")
+    r = rates.join(broadcast_up_to(d, MAX_BROADCAST), "dataset_id")
     r = r.select(F.col("id").alias("rate_id"), F.col("hs_code").alias("rule_code"), "origin_country", "measure_type", F.coalesce("measure_code", F.lit("")).alias("measure_code"), "rate_type", "ad_valorem_percent", "effective_from", "effective_to", "d_jurisdiction", "activated_at", "superseded_at")
-    q = prefix_join(parsed_queries(queries), r, "code", "rule_code")
-    held = (F.col("d_jurisdiction") == F.col("jurisdiction")) & ((F.col("origin_country") == F.col("q_origin")) | (F.col("origin_country") == "*"))
-    held &= in_force(F.col("activated_at"), F.col("superseded_at"), F.col("evaluated_at")) & in_force(F.col("effective_from"), F.col("effective_to"), F.col("on_date"))
-    return q.filter(held & F.col("q_origin").isNotNull())
+    rules = broadcast_up_to(stored(r, "rules"), MAX_BROADCAST)
+    q = parsed_queries(queries).filter(F.col("code").isNotNull() & F.col("q_origin").isNotNull() & F.col("on_date").isNotNull() & F.col("evaluated_at").isNotNull())
+    q = q.withColumn("prefix", F.explode(hs_prefixes(F.col("code")))).withColumn("any_origin", F.explode(F.array("q_origin", F.lit("*"))))
+    q = q.join(rules, (F.col("prefix") == F.col("rule_code")) & (F.col("jurisdiction") == F.col("d_jurisdiction")) & (F.col("any_origin") == F.col("origin_country")))
+    return q.filter(in_force(F.col("activated_at"), F.col("superseded_at"), F.col("evaluated_at")) & in_force(F.col("effective_from"), F.col("effective_to"), F.col("on_date")))
 
 
 def most_specific(found: DataFrame) -> DataFrame:
@@ -72,21 +80,24 @@ def most_specific(found: DataFrame) -> DataFrame:
     return top.groupBy("query_id", "measure_type", "measure_code").agg(F.count("*").alias("n_tied"), F.min("rate_type").alias("rate_type"), F.sum("ad_valorem_percent").alias("ad_valorem"))
 
 
-def resolve_tariffs(queries: DataFrame, rates: DataFrame, datasets: DataFrame) -> DataFrame:
-    """query_id, hold_reason, n_measures, ad_valorem_percent of every query. Reasons, first that holds: INVALID_QUERY, NO_COVERAGE,
-    NO_TARIFF_RATE, then of the measures in order (MFN first, then by code) AMBIGUOUS_TARIFF before UNSUPPORTED_MEASURE."""
-    best = most_specific(candidates(queries, rates, datasets))
-    first = F.struct((F.col("measure_type") != "MFN").cast("int"), "measure_type", "measure_code")
-    problem = F.when(F.col("n_tied") > 1, "AMBIGUOUS_TARIFF").when(F.col("rate_type") == "UNSUPPORTED_MEASURE", "UNSUPPORTED_MEASURE")
+def resolve_tariffs(queries: DataFrame, rates: DataFrame, datasets: DataFrame, sla_hours: int = 10**6, category: str = "TARIFF") -> DataFrame:
+    """query_id, hold_reason, n_measures, ad_valorem_percent of every query. Reasons, first that holds: INVALID_QUERY, NO_REGULATORY_COVERAGE,
+    STALE_REGULATORY_DATA (a dataset in force was fetched more than sla_hours before the evaluation), NO_TARIFF_RATE, then of the measures in
+    order (MFN first, then by code) AMBIGUOUS_TARIFF before UNSUPPORTED_MEASURE. Only datasets of the category are read."""
+    own = datasets.filter(F.col("category") == category)
+    best = most_specific(candidates(queries, rates, own))
+    first = F.struct((F.col("measure_type") != "MFN").cast("int"), "measure_code")
+    problem = F.when(F.col("n_tied") > 1, AMBIGUOUS).when(F.col("rate_type") == UNSUPPORTED, UNSUPPORTED)
     per = best.groupBy("query_id").agg(
         F.bool_or(F.col("measure_type") == "MFN").alias("has_mfn"), F.count("*").alias("n"), F.sum(F.coalesce("ad_valorem", F.lit(0))).alias("total"), F.min_by(problem, F.when(problem.isNotNull(), first)).alias("problem")
     )
-    lines = datasets.filter("activated_at is not null").select(F.col("jurisdiction").alias("d_jurisdiction"), "activated_at", "superseded_at")
+    lines = own.filter("activated_at is not null").select(F.col("jurisdiction").alias("d_jurisdiction"), "category", "fetched_at", "activated_at", "superseded_at")
     q = parsed_queries(queries)
-    instants = q.select("query_id", "jurisdiction", "evaluated_at").join(F.broadcast(lines) if lines.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else lines, F.col("jurisdiction") == F.col("d_jurisdiction"))
-    covered = instants.filter(in_force(F.col("activated_at"), F.col("superseded_at"), F.col("evaluated_at"))).select("query_id").distinct().withColumn("covered", F.lit(True))
+    instants = q.select("query_id", "jurisdiction", "evaluated_at").join(broadcast_up_to(lines, MAX_BROADCAST), F.col("jurisdiction") == F.col("d_jurisdiction"))
+    covered = instants.filter(in_force(F.col("activated_at"), F.col("superseded_at"), F.col("evaluated_at")))
+    covered = covered.groupBy("query_id").agg(F.bool_or(_too_old(F.col("evaluated_at"), {category: sla_hours})).alias("stale"))
     out = q.join(per, "query_id", "left").join(covered, "query_id", "left")
-    bad = F.col("code").isNull() | F.col("q_origin").isNull() | F.col("on_date").isNull() | F.col("jurisdiction").isNull()
-    hold = F.when(bad, "INVALID_QUERY").when(F.col("covered").isNull(), "NO_COVERAGE").when(~F.coalesce("has_mfn", F.lit(False)), "NO_TARIFF_RATE").otherwise(F.col("problem"))
+    bad = F.col("code").isNull() | F.col("q_origin").isNull() | F.col("on_date").isNull() | F.col("jurisdiction").isNull() | F.col("evaluated_at").isNull()
+    hold = F.when(bad, "INVALID_QUERY").when(F.col("stale").isNull(), NO_COVERAGE).when(F.col("stale"), STALE_DATA).when(~F.coalesce("has_mfn", F.lit(False)), NO_RATE).otherwise(F.col("problem"))
     out = out.withColumn("hold_reason", hold)
     return out.select("query_id", "hold_reason", F.when(hold.isNull(), F.col("n")).alias("n_measures"), F.when(hold.isNull(), F.col("total").cast("decimal(38,6)")).alias("ad_valorem_percent"))

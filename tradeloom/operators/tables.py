@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import json
-import os
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..files import Commits
 from ..functions.codes import decode_cursor, encode_cursor, limit_of
 
 
@@ -59,6 +57,31 @@ def raise_watermarks(stored: DataFrame, seen: DataFrame, keys: Sequence[str], ma
     return j.filter(any_moved).select(*[F.greatest(F.col(c), F.col(f"_new_{c}")).alias(c) if c in marks else F.col(c) for c in stored.columns])
 
 
+def change_marks(stored: DataFrame, changed: DataFrame, keys: Sequence[str], marks: Sequence[str], changed_at: str) -> DataFrame:
+    """The rows of the keys in `changed`, with changed_at taken from it as it is and each mark the greater of both."""
+    s = changed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(m).alias(f"_new_{m}") for m in marks], F.col(changed_at).alias("_at"))
+    j = stored.join(s, [F.col(k) == F.col(f"_k_{k}") for k in keys])
+    return j.select(*[F.greatest(F.col(c), F.col(f"_new_{c}")).alias(c) if c in marks else F.col("_at").alias(c) if c == changed_at else F.col(c) for c in stored.columns])
+
+
+def delete_unreferenced(stored: DataFrame, doomed: DataFrame, key: str, *children: tuple[DataFrame, str]) -> tuple[DataFrame, DataFrame]:
+    """(stored without the doomed keys that no child refers to, the doomed keys that are in use)."""
+    used = doomed.select(key).distinct().withColumn("_used", F.lit(False))
+    for child, column in children:
+        refs = child.select(F.col(column).alias(key)).dropna().distinct().withColumn("_ref", F.lit(True))
+        used = used.join(refs, key, "left").withColumn("_used", F.col("_used") | F.coalesce("_ref", F.lit(False))).drop("_ref")
+    return stored.join(used.filter(~F.col("_used")), key, "left_anti"), used.filter("_used").select(key)
+
+
+def run_page(records: DataFrame, run_id: str, limit: int = 0, after: str | None = None) -> tuple[DataFrame, str | None]:
+    """One page of a run's records in ascending order of id after the cursor (an id), and the next cursor. Limits: 50 by default, 1,000 at most."""
+    n = limit_of(limit, 50, 1000)
+    own = records.filter(F.col("ingestion_run_id") == run_id)
+    rows = (own.filter(F.col("id") > after) if after else own).orderBy("id").limit(n + 1)
+    ids = [r[0] for r in rows.select("id").collect()]  # at most 1,001 rows
+    return (rows, None) if len(ids) <= n else (rows.orderBy("id").limit(n), ids[n - 1])
+
+
 def page(df: DataFrame, limit: int = 0, cursor: str | None = None) -> tuple[DataFrame, str | None]:
     """One page in the order created_at desc, id desc, after the cursor, and the next cursor (null at the end). Limits: 50 by default, 500 at most.
     The condition is spelled out, so that it reaches the scan."""
@@ -78,34 +101,30 @@ class SnapshotConflict(RuntimeError):
 
 
 class SnapshotStore:
-    """Tables under a folder, published together: new versions are written beside the old, then one manifest is put in place.
-    A reader sees all of a publication or nothing; a writer that read an older manifest fails."""
+    """Tables under a folder, published together: new files are written beside the old, then one commit names them. A reader sees all of a
+    publication or nothing. Commits are numbered and each can be made once, so of two writers that read the same state one fails."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.path, self.commits = spark, path, Commits(spark, path)
 
     def manifest(self) -> dict:
-        try:
-            with open(f"{self.path}/_manifest.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"id": None, "tables": {}}
+        """id (a number, null before the first publication) and the folders of each table."""
+        number, state = self.commits.last()
+        return {"id": number or None, "tables": state.get("tables", {})}
 
     def read(self, name: str) -> DataFrame | None:
-        at = self.manifest()["tables"].get(name)
-        return self.spark.read.parquet(f"{self.path}/{at}") if at else None
+        folders = self.manifest()["tables"].get(name)
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
 
-    def publish(self, tables: dict[str, DataFrame], expected: str | None) -> str:
-        new_id = uuid.uuid4().hex
+    def publish(self, tables: dict[str, DataFrame], expected: int | None, append: dict[str, DataFrame] | None = None) -> int:
+        """Replace `tables` and add to those of `append`, whose earlier files stay as they are."""
         written = {}
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{name}-{new_id}")
-            written[name] = f"{name}-{new_id}"
+        for name, df in [*tables.items(), *(append or {}).items()]:
+            written[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.path}/{written[name]}")
         now = self.manifest()
-        if now["id"] != expected:
-            raise SnapshotConflict(f"expected {expected}, found {now['id']}")
-        with open(f"{self.path}/_manifest.{new_id}", "w") as f:
-            json.dump({"id": new_id, "at": dt.datetime.now(dt.UTC).isoformat(), "tables": now["tables"] | written}, f)
-        os.replace(f"{self.path}/_manifest.{new_id}", f"{self.path}/_manifest.json")
-        return new_id
+        held = now["tables"] | {n: [written[n]] for n in tables} | {n: [*now["tables"].get(n, []), written[n]] for n in append or {}}
+        number = (expected or 0) + 1
+        if now["id"] != expected or not self.commits.make(number, {"tables": held}):
+            raise SnapshotConflict(f"expected {expected}, found {self.manifest()['id']}")
+        return number

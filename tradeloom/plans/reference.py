@@ -140,8 +140,9 @@ def keyset_after(spark: SparkSession, d: str) -> DataFrame:
 # --- change detection
 
 _FOLD = """WITH recs AS (SELECT source_id, external_product_id, id, source_updated_at AS sua, received_at AS ra, 'v1:' || payload_sha256 AS fp FROM raw_records WHERE payload_sha256 IS NOT NULL),
-snap AS (SELECT p.source_id, p.external_product_id, CAST(NULL AS TIMESTAMP) AS s_sua, TIMESTAMP '2026-02-01' AS s_ra, p.current_fingerprint AS s_fp, CAST(NULL AS VARCHAR) AS s_refp, v.version_number AS s_version
-  FROM products p JOIN product_versions v ON v.id = p.current_version_id),
+refs AS (SELECT source_id, external_product_id, min(fp) AS ref FROM recs GROUP BY source_id, external_product_id),
+snap AS (SELECT p.source_id, p.external_product_id, CASE WHEN v.version_number % 2 = 0 THEN TIMESTAMP '2026-03-01' END AS s_sua, TIMESTAMP '2026-02-01' AS s_ra, CASE WHEN ascii(p.id) % 3 = 0 THEN 'old-scheme' ELSE p.current_fingerprint END AS s_fp, refs.ref AS s_refp, v.version_number AS s_version
+  FROM products p JOIN product_versions v ON v.id = p.current_version_id LEFT JOIN refs USING (source_id, external_product_id)),
 base AS (SELECT r.*, s_sua, s_ra, s_fp, s_refp, s_version, (s_sua IS NOT NULL AND sua IS NOT NULL AND sua < s_sua) AS hard_stale,
   greatest(s_ra, max(CASE WHEN sua IS NULL THEN ra END) OVER (PARTITION BY source_id, external_product_id)) AS m FROM recs r LEFT JOIN snap USING (source_id, external_product_id)),
 act AS (SELECT *, CASE WHEN hard_stale THEN FALSE WHEN sua IS NULL OR s_sua IS NOT NULL THEN TRUE ELSE max(CASE WHEN sua IS NOT NULL AND (m IS NULL OR ra >= m) THEN 1 ELSE 0 END)
@@ -160,8 +161,10 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "raw_records").filter("payload_sha256 is not null")
     r = r.select(*changes.IDENTITY, "id", F.col("source_updated_at").alias("sua"), F.col("received_at").alias("ra"), F.concat(F.lit("v1:"), "payload_sha256").alias("fp"))
     v = table(spark, d, "product_versions").select(F.col("id").alias("current_version_id"), F.col("version_number").cast("long").alias("s_version"))
-    p = table(spark, d, "products").select(*changes.IDENTITY, "current_version_id", F.col("current_fingerprint").alias("s_fp")).join(v, "current_version_id")
-    state = p.select(*changes.IDENTITY, F.lit(None).cast("timestamp_ntz").alias("s_sua"), F.lit("2026-02-01 00:00:00").cast("timestamp_ntz").alias("s_ra"), "s_fp", F.lit(None).cast("string").alias("s_refp"), "s_version")
+    p = table(spark, d, "products").select(*changes.IDENTITY, "current_version_id", F.when(F.ascii("id") % 3 == 0, "old-scheme").otherwise(F.col("current_fingerprint")).alias("s_fp")).join(v, "current_version_id")
+    refs = r.groupBy(*changes.IDENTITY).agg(F.min("fp").alias("s_refp"))
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    state = p.join(refs, changes.IDENTITY, "left").select(*changes.IDENTITY, F.when(F.col("s_version") % 2 == 0, at("2026-03-01 00:00:00")).alias("s_sua"), at("2026-02-01 00:00:00").alias("s_ra"), "s_fp", "s_refp", "s_version")
     return changes.classify(r, state)
 
 
@@ -175,7 +178,7 @@ def change_versions(spark: SparkSession, d: str) -> DataFrame:
     return changes.versions(_classified(spark, d)).select(*changes.IDENTITY, "id", "version_number", "fp")
 
 
-@query(_FOLD + """SELECT source_id, external_product_id, max(version_number) AS version_number, arg_max(fp, version_number) FILTER (version_number IS NOT NULL) AS fingerprint,
+@query(_FOLD + """SELECT source_id, external_product_id, max(version_number) AS version_number, coalesce(arg_max(fp, version_number) FILTER (version_number IS NOT NULL), max(fp) FILTER (transition = 'VERSION_MISMATCH')) AS fingerprint,
 greatest(any_value(s_sua), max(CASE WHEN transition <> 'STALE' THEN sua END)) AS last_source_updated_at, greatest(any_value(s_ra), max(CASE WHEN transition <> 'STALE' THEN ra END)) AS last_received_at, any_value(s_fp) IS NULL AS is_new
 FROM folded GROUP BY source_id, external_product_id HAVING count(*) FILTER (transition <> 'STALE') > 0""")
 def change_head_state(spark: SparkSession, d: str) -> DataFrame:
@@ -187,10 +190,11 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
     return changes.counters(_classified(spark, d), "source_id")
 
 
-@query(_FOLD + """SELECT 'product.changed' AS event_type, '{"source_id":' || to_json(source_id) || ',"external_product_id":' || to_json(external_product_id) || ',"version_number":' || version_number || ',"change_type":"' || transition || '"}' AS payload FROM folded WHERE version_number IS NOT NULL""")
+@query(_FOLD + """SELECT 'product.changed' AS event_type, 'product' AS aggregate_type, '{"version_number":' || version_number || ',"fingerprint":"' || fp || '","change_type":"' || transition || '","changed_fields":[]}' AS payload FROM folded WHERE version_number IS NOT NULL""")
 def change_events_json(spark: SparkSession, d: str) -> DataFrame:
+    """The events' contract; the ids, which are made here, are left out of the comparison."""
     e = changes.change_events(_classified(spark, d))
-    return e.select("event_type", F.regexp_replace("payload", '"version_id":"[^"]*",', "").alias("payload"))
+    return e.select("event_type", "aggregate_type", F.regexp_replace("payload", '"(product_id|version_id)":"[0-9a-f-]{36}",', "").alias("payload"))
 
 
 _OUTCOME = r"""WITH o AS (SELECT source_id, CASE WHEN payload IS NULL OR NOT json_valid(payload) THEN 'malformed' WHEN json_type(payload) <> 'OBJECT' THEN 'malformed'
@@ -214,15 +218,17 @@ def error_budget(spark: SparkSession, d: str) -> DataFrame:
     return changes.over_budget(counted, 0.5, 20)
 
 
-@query("""WITH v AS (SELECT *, lag(canonical_name) OVER w AS pn, lag(description) OVER w AS pd, lag(brand) OVER w AS pb, lag(origin_country) OVER w AS po, lag(attributes) OVER w AS pa, lag(id) OVER w AS pid FROM product_versions WINDOW w AS (PARTITION BY product_id ORDER BY version_number))
-SELECT id, concat_ws(',', CASE WHEN attributes IS DISTINCT FROM pa THEN 'attributes' END, CASE WHEN lower(trim(brand)) IS DISTINCT FROM lower(trim(pb)) THEN 'brand' END, CASE WHEN canonical_name IS DISTINCT FROM pn THEN 'canonical_name' END,
- CASE WHEN description IS DISTINCT FROM pd THEN 'description' END, CASE WHEN origin_country IS DISTINCT FROM po THEN 'origin_country' END) AS changed FROM v WHERE pid IS NOT NULL""")
+@query("""WITH c AS (SELECT id, product_id, version_number, canonical_name AS n, coalesce(description, '') AS d, lower(trim(coalesce(brand, ''))) AS b, coalesce(origin_country, '') AS o,
+ coalesce((SELECT string_agg(lower(trim(k)) || '=' || json_extract_string(attributes, '$."' || k || '"'), chr(31) ORDER BY lower(trim(k))) FROM unnest(json_keys(attributes)) t(k) WHERE json_extract_string(attributes, '$."' || k || '"') IS NOT NULL), '') AS a FROM product_versions),
+v AS (SELECT *, lag(n) OVER w AS pn, lag(d) OVER w AS pd, lag(b) OVER w AS pb, lag(o) OVER w AS po, lag(a) OVER w AS pa, lag(id) OVER w AS pid FROM c WINDOW w AS (PARTITION BY product_id ORDER BY version_number))
+SELECT id, concat_ws(',', CASE WHEN a <> pa THEN 'attributes' END, CASE WHEN b <> pb THEN 'brand' END, CASE WHEN n IS DISTINCT FROM pn THEN 'canonical_name' END, CASE WHEN d <> pd THEN 'description' END, CASE WHEN o <> po THEN 'origin_country' END) AS changed FROM v WHERE pid IS NOT NULL""")
 def change_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields in which each version differs from the one before, on canonical forms: the order of attributes and the case of their names don't count."""
     w = Window.partitionBy("product_id").orderBy("version_number")
-    names = ["attributes", "brand", "canonical_name", "description", "origin_country"]
-    v = table(spark, d, "product_versions").withColumn("brand", F.lower(F.trim("brand")))
-    v = v.select("id", *names, F.lag("id").over(w).alias("before"), *[F.lag(n).over(w).alias(f"old_{n}") for n in names]).filter("before is not null")
-    return v.select("id", F.concat_ws(",", textnorm.changed_fields({n: F.col(f"old_{n}") for n in names}, {n: F.col(n) for n in names})).alias("changed"))
+    v = table(spark, d, "product_versions")
+    v = v.withColumn("canon", textnorm.canonical_fields(F.col("canonical_name"), F.col("description"), F.col("brand"), F.col("origin_country"), F.col("attributes")))
+    v = v.select("id", "canon", F.lag("canon").over(w).alias("before")).filter("before is not null")
+    return v.select("id", F.concat_ws(",", textnorm.changed_fields(F.col("before"), F.col("canon"))).alias("changed"))
 
 
 # --- scalar functions
@@ -293,10 +299,11 @@ def supersession(spark: SparkSession, d: str) -> DataFrame:
     return rules.supersession(table(spark, d, "regulatory_datasets")).select("id", "closed_at")
 
 
-@query(f"""SELECT *, CASE WHEN in_force = 0 THEN 'NO_COVERAGE' WHEN stale THEN 'STALE_COVERAGE' END AS hold_reason FROM (SELECT jurisdiction, count(*) FILTER (a) AS in_force, coalesce(bool_or(TIMESTAMP '{AT}' - fetched_at > INTERVAL 720 HOUR) FILTER (a), false) AS stale
-FROM (SELECT *, coalesce(activated_at <= TIMESTAMP '{AT}' AND (superseded_at IS NULL OR TIMESTAMP '{AT}' < superseded_at), false) AS a FROM regulatory_datasets) GROUP BY jurisdiction)""")
+@query(f"""SELECT *, CASE WHEN in_force = 0 THEN 'NO_REGULATORY_COVERAGE' WHEN stale THEN 'STALE_REGULATORY_DATA' END AS hold_reason FROM (SELECT jurisdiction, category, count(*) FILTER (a) AS in_force,
+coalesce(bool_or(TIMESTAMP '{AT}' - fetched_at > CASE category WHEN 'TARIFF' THEN INTERVAL 720 HOUR WHEN 'SANCTIONS' THEN INTERVAL 24 HOUR ELSE INTERVAL 2000 HOUR END) FILTER (a), false) AS stale
+FROM (SELECT *, coalesce(activated_at <= TIMESTAMP '{AT}' AND (superseded_at IS NULL OR TIMESTAMP '{AT}' < superseded_at), false) AS a FROM regulatory_datasets) GROUP BY jurisdiction, category)""")
 def coverage_sla(spark: SparkSession, d: str) -> DataFrame:
-    return rules.freshness(table(spark, d, "regulatory_datasets"), AT, 720)
+    return rules.freshness(table(spark, d, "regulatory_datasets"), AT, {"TARIFF": 720, "SANCTIONS": 24, "IMPORT_RESTRICTION": 2000, "PERMIT": 2000, "EXPORT_CONTROL": 2000, "PREFERENTIAL_AGREEMENT": 2000})
 
 
 @query("""SELECT DISTINCT b.id FROM tariff_rates a JOIN tariff_rates b ON a.dataset_id = b.dataset_id AND a.hs_code = b.hs_code AND a.origin_country = b.origin_country AND a.measure_type = b.measure_type AND a.measure_code IS NOT DISTINCT FROM b.measure_code AND a.id <> b.id
@@ -306,28 +313,29 @@ def validity_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CANDIDATES = """WITH q AS (SELECT query_id, jurisdiction, transaction_at, evaluated_at, CAST(transaction_at AS DATE) AS on_date, CASE WHEN regexp_full_match(translate(hs_code, '. ', ''), '([0-9]{2}){1,5}') THEN translate(hs_code, '. ', '') END AS code,
-  CASE WHEN regexp_full_match(upper(trim(origin)), '[A-Z]{2}') THEN upper(trim(origin)) END AS origin FROM tariff_queries),
+  CASE WHEN regexp_full_match(upper(trim(origin)), '[A-Z]{2}') AND CASE WHEN upper(trim(origin)) IN (""" + ", ".join(f"'{m}'" for m in codes.MEMBERS) + """) THEN 'EU' ELSE upper(trim(origin)) END <> jurisdiction THEN upper(trim(origin)) END AS origin FROM tariff_queries),
 cand AS (SELECT q.query_id, q.origin AS q_origin, r.id AS rate_id, r.hs_code AS rule_code, r.origin_country, r.measure_type, coalesce(r.measure_code, '') AS measure_code, r.rate_type, r.ad_valorem_percent
-  FROM q JOIN tariff_rates r ON starts_with(q.code, r.hs_code) AND length(r.hs_code) % 2 = 0 AND r.origin_country IN (q.origin, '*') JOIN regulatory_datasets s ON s.id = r.dataset_id AND s.jurisdiction = q.jurisdiction
+  FROM q JOIN tariff_rates r ON starts_with(q.code, r.hs_code) AND length(r.hs_code) % 2 = 0 AND r.origin_country IN (q.origin, '*') JOIN regulatory_datasets s ON s.id = r.dataset_id AND s.category = 'TARIFF' AND s.jurisdiction = q.jurisdiction
    AND s.activated_at <= q.evaluated_at AND (s.superseded_at IS NULL OR q.evaluated_at < s.superseded_at) WHERE q.origin IS NOT NULL AND r.effective_from <= q.on_date AND (r.effective_to IS NULL OR q.on_date < r.effective_to))"""
 
 _RESOLVED = _CANDIDATES + """, ranked AS (SELECT *, rank() OVER (PARTITION BY query_id, measure_type, measure_code ORDER BY CASE WHEN origin_country = q_origin THEN 0 ELSE 1 END, length(rule_code) DESC) AS rk FROM cand WHERE measure_type <> 'PREFERENTIAL'),
 best AS (SELECT query_id, measure_type, measure_code, sum(ad_valorem_percent) AS ad_valorem, CASE WHEN count(*) > 1 THEN 'AMBIGUOUS_TARIFF' WHEN min(rate_type) = 'UNSUPPORTED_MEASURE' THEN 'UNSUPPORTED_MEASURE' END AS problem,
   row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN measure_type = 'MFN' THEN 0 ELSE 1 END, measure_type, measure_code) AS pos FROM ranked WHERE rk = 1 GROUP BY query_id, measure_type, measure_code),
 agg AS (SELECT query_id, bool_or(measure_type = 'MFN') AS has_mfn, count(*) AS n, sum(coalesce(ad_valorem, 0)) AS total, arg_min(problem, pos) FILTER (problem IS NOT NULL) AS problem FROM best GROUP BY query_id),
-cov AS (SELECT DISTINCT q.query_id FROM q JOIN regulatory_datasets s ON s.jurisdiction = q.jurisdiction AND s.activated_at <= q.evaluated_at AND (s.superseded_at IS NULL OR q.evaluated_at < s.superseded_at)),
-res AS (SELECT q.query_id, CASE WHEN q.code IS NULL OR q.origin IS NULL OR q.on_date IS NULL OR q.jurisdiction IS NULL THEN 'INVALID_QUERY' WHEN cov.query_id IS NULL THEN 'NO_COVERAGE' WHEN NOT coalesce(has_mfn, false) THEN 'NO_TARIFF_RATE' ELSE problem END AS hold_reason, n, total
+cov AS (SELECT q.query_id, bool_or(q.evaluated_at - s.fetched_at > INTERVAL 2400 HOUR) AS stale FROM q JOIN regulatory_datasets s ON s.category = 'TARIFF' AND s.jurisdiction = q.jurisdiction AND s.activated_at <= q.evaluated_at AND (s.superseded_at IS NULL OR q.evaluated_at < s.superseded_at) GROUP BY q.query_id),
+res AS (SELECT q.query_id, CASE WHEN q.code IS NULL OR q.origin IS NULL OR q.on_date IS NULL OR q.jurisdiction IS NULL OR q.evaluated_at IS NULL THEN 'INVALID_QUERY' WHEN cov.query_id IS NULL THEN 'NO_REGULATORY_COVERAGE' WHEN cov.stale THEN 'STALE_REGULATORY_DATA' WHEN NOT coalesce(has_mfn, false) THEN 'NO_TARIFF_RATE' ELSE problem END AS hold_reason, n, total
   FROM q LEFT JOIN agg USING (query_id) LEFT JOIN cov USING (query_id))"""
 
 
 @query(_CANDIDATES + " SELECT query_id, rate_id FROM cand")
 def tariff_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return rules.candidates(table(spark, d, "tariff_queries"), table(spark, d, "tariff_rates"), table(spark, d, "regulatory_datasets")).select("query_id", "rate_id")
+    tariff = table(spark, d, "regulatory_datasets").filter("category = 'TARIFF'")
+    return rules.candidates(table(spark, d, "tariff_queries"), table(spark, d, "tariff_rates"), tariff).select("query_id", "rate_id")
 
 
 @query(_RESOLVED + " SELECT query_id, hold_reason, CASE WHEN hold_reason IS NULL THEN n END AS n_measures, CASE WHEN hold_reason IS NULL THEN CAST(total AS DECIMAL(38,6)) END AS ad_valorem_percent FROM res")
 def tariff_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return rules.resolve_tariffs(table(spark, d, "tariff_queries"), table(spark, d, "tariff_rates"), table(spark, d, "regulatory_datasets"))
+    return rules.resolve_tariffs(table(spark, d, "tariff_queries"), table(spark, d, "tariff_rates"), table(spark, d, "regulatory_datasets"), 2400)
 
 
 @query(_RESOLVED + " SELECT coalesce(hold_reason, 'RESOLVED') AS outcome, count(*) AS n FROM res GROUP BY outcome")
