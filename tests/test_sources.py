@@ -1,13 +1,17 @@
 import os
 import subprocess
 import sys
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl, urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradeloom.session import scratch, shared_dir
 from tradeloom.sources import feeds
 from tradeloom.sources.numbered import transport
-from tradeloom.sources.rest import SourceError, TokenBucket, check_status, next_link, pages, probe, records_of
+from tradeloom.sources.rest import SourceError, TokenBucket, check_status, http, next_link, pages, probe, records_of, sync
 
 
 def put(spark, text, name="feed"):
@@ -81,6 +85,69 @@ def test_rest():
     assert [b.take(), b.take()] == [0.0, 0.5]
 
 
+def test_records_keep_their_numbers():
+    body = b' [ {"b":1.50, "a":1e3} ,{"id":"x"}]'
+    assert records_of(body, "") == ['{"b":1.50, "a":1e3}', '{"id":"x"}']
+    assert records_of(b'{"d":{"i":[{"b":1.50,"a":[1e3,null,true,"\xc3\xa9"]}]}}', "d.i") == ['{"a":[1e3,null,true,"\u00e9"],"b":1.50}']
+    assert records_of(b"[]", ".") == []
+    for bad in (b"\xff[]", b"[1]", b"[{}] x"):
+        with pytest.raises(SourceError):
+            records_of(bad, "")
+
+
+def test_http_and_checkpoints():
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = dict(parse_qsl(urlsplit(self.path).query))
+            if self.headers.get("Authorization") != "Bearer k":
+                self.send_response(401)
+                self.end_headers()
+                return
+            status, _, body = transport("u", q, {})
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/items"
+    options = {"pagination": "page", "page_size": 50, "records_path": "data.items", "auth": "bearer", "secret": "env:TEST_SOURCE_KEY"}
+    try:
+        with pytest.raises(SourceError):
+            list(pages(http, url, options))  # the secret isn't set
+        os.environ["TEST_SOURCE_KEY"] = "k"
+        kept = []
+        assert sync(http, url, options, lambda found, following: kept.append((len(found), following))) == 230
+        assert kept == [(50, "page:2"), (50, "page:3"), (50, "page:4"), (50, "page:5"), (30, None)]
+        assert sum(map(len, pages(http, url, options | {"checkpoint": "page:4"}))) == 80
+        with pytest.raises(SourceError):
+            list(pages(http, url, options | {"checkpoint": "cursor:x"}))
+        told = probe(http, url, options | {"auth": "none"})
+        assert told["reachable"] and not told["authenticated"] and told["seconds"] > 0
+    finally:
+        server.shutdown()
+        os.environ.pop("TEST_SOURCE_KEY", None)
+    assert probe(http, url, {})["reachable"] is False
+
+
+def test_adapters_and_identities(spark):
+    path = put(spark, b"SKU,Region\nA, eu\n,us\n")
+    read = feeds.adapter("feed")
+    assert [r.external_product_id for r in read(spark, feeds.FeedConfig(path, id_field="SKU")).orderBy("external_product_id").collect()] == [None, "A"]
+    custom = feeds.FeedConfig(path, custom=lambda c: F.concat(F.get_json_object(c, "$.region"), F.lit("/"), F.get_json_object(c, "$.sku")))
+    assert sorted(r.external_product_id for r in read(spark, custom).collect()) == ["eu/A", "us/"]
+    with pytest.raises(feeds.FeedError):
+        feeds.adapter("SCRAPER")
+    good = feeds.with_metadata(read(spark, feeds.FeedConfig(path, id_field="sku")))
+    raw = feeds.raw_records(good, " src ", "run", F.lit("2026-01-01").cast("timestamp_ntz")).collect()
+    assert len(raw) == 1 and raw[0].source_id == "src" and len(raw[0].id) == 36
+    with pytest.raises(ValueError):
+        feeds.raw_records(good, " ", "run", F.lit(None).cast("timestamp_ntz"))
+
+
 def test_core_never_imports_llm():
     code = "import sys, tradeloom.plans.registry, tradeloom.operators.runs, tradeloom.streaming.delivery, tradeloom.sources.rest; sys.exit(any(m.startswith('tradeloom.llm') for m in sys.modules))"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

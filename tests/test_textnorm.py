@@ -1,3 +1,4 @@
+import decimal
 import unicodedata
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from tradeloom.functions.textnorm import FieldMapping, RecordError, canonical_number, collapse, collapse_text, fingerprint, fold, look_up, normalise, parse_path, with_normalised
 
 M = FieldMapping("title", "description", "brand", "country", {"color": "attributes.color", "power": "attributes.power_w"})
+# Two records and the fingerprints that the format's definition gives them.
 FULL = '{"title":"Ultra Blender 3000","description":"High-speed professional blender","brand":"Vitamix","country":"US","attributes":{"color":"Black","power_w":1400}}'
 GOLDEN = {FULL: "v1:a7be21d00a2f19364dfc5733fc2114d030d920c477e4e63a194e7e65b1e0404c", '{"title":"Simple Notebook"}': "v1:3e7ae6e7cbe7b614b8c65fdbf5fc982e9903fe96da7988324e69d43e4abb14a4"}
 
@@ -16,23 +18,40 @@ def test_golden(payload):
     assert fingerprint(*normalise(payload, M).values()) == GOLDEN[payload]
 
 
-@pytest.mark.parametrize(("text", "want"), [("0", "0"), ("-0", "0"), ("-0.0", "0"), ("65.0", "65"), ("65.50", "65.5"), ("0.05", "0.05"), ("-65.50", "-65.5"), ("1.23e2", "123"), ("1.23e-2", "0.0123"), ("1e3", "1000"), ("1e308", "1" + "0" * 308), ("12345678901234567890.12345678901234567890", "12345678901234567890.1234567890123456789")])
-def test_numbers(text, want):
-    assert canonical_number(text) == want
+@settings(max_examples=300, deadline=None)
+@given(st.integers(-10**30, 10**30), st.integers(-40, 40), st.integers(0, 5))
+def test_numbers(digits, exponent, zeros):
+    """However a number is printed, its canonical form has its value, no exponent and no zeros at the end of a fraction."""
+    want = canonical_number(f"{digits}e{exponent}")
+    value = decimal.Decimal(digits).scaleb(exponent, decimal.Context(prec=200))
+    assert decimal.Decimal(want) == value and "e" not in want.lower() and not ("." in want and want[-1] in "0.") and (want != "-0")
+    assert canonical_number(f"{digits}{'0' * zeros}E{exponent - zeros}") == want == canonical_number(want)
+    if exponent <= 0:
+        assert canonical_number(format(value, "f") + ("." if "." not in format(value, "f") else "") + "0" * zeros) == want
 
 
-@pytest.mark.parametrize("text", ["1e309", "1e-309", "not-a-number", "", ".", "-", "1e", "0x1"])
-def test_no_numbers(text):
-    with pytest.raises(RecordError):
-        canonical_number(text)
+def test_numbers_at_the_limit():
+    assert canonical_number("7e308") == "7" + "0" * 308 and canonical_number("-0.000") == "0" and canonical_number("1" * 60 + ".10") == "1" * 60 + ".1"
+    for text in ("7e309", "7E-309", "twelve", " ", "-.", "3e", "0b1", "1_000", "1 2"):
+        with pytest.raises(RecordError):
+            canonical_number(text)
 
 
-def test_paths():
-    assert parse_path("items[1][2].code") == ["items", 1, 2, "code"]
-    assert look_up({"a": [{"b": 1}, {"0": {"c": 2}}]}, "a[1].0.c") == 2
-    for bad in ["", ".", ".title", "title.", "details..color", "items[0", "items[x]", "items[]", "a]b", "items[0]abc", "items [0]"]:
-        with pytest.raises(ValueError):
-            parse_path(bad)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.from_regex(r"[a-z_]{1,6}", fullmatch=True), st.integers(0, 99)), min_size=1, max_size=5).filter(lambda x: isinstance(x[0], str)), st.data())
+def test_paths(steps, data):
+    path = "".join(f"[{s}]" if isinstance(s, int) else ("." if k else "") + s for k, s in enumerate(steps))
+    assert parse_path(path) == steps
+    # a mark in the wrong place breaks any path
+    bad = data.draw(st.sampled_from([path + ".", "." + path, path + "[", path + "]", path + "[]", path + "[k]", path + "[1]q", path + " [2]", path + "..x", "[1]" + path]))
+    with pytest.raises(ValueError):
+        parse_path(bad)
+
+
+def test_look_up():
+    assert look_up({"a": [{"b": 1}, {"0": {"c": 2}}]}, "a[1].0.c") == 2 and look_up({"a": [1]}, "a[1]") is None and look_up({"a": 1}, "a.b") is None
+    with pytest.raises(ValueError):
+        parse_path("")
 
 
 @pytest.mark.parametrize(("payload", "kind"), [(None, "malformed"), ("", "malformed"), ('{"title":"a"} x', "malformed"), ("[1]", "malformed"), ('{"title":true}', "malformed"), ('{"title":NaN}', "malformed"), ('{"title":"' + "x" * 513 + '"}', "malformed"), ('{"title":"x","brand":"' + "b" * 256 + '"}', "malformed"), ('{"title":{}}', "malformed"), ("{}", "missing_field"), ('{"title":" "}', "missing_field"), ('{"title":"x","country":"USA"}', "invalid_origin"), ('{"title":"x","country":"ü"}', "invalid_origin")])
@@ -90,6 +109,6 @@ def test_all_versions_have_a_fingerprint(spark, tmp_path):
     got = {r.id: r.fingerprint for r in reference.QUERIES["fingerprint_versions"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: "v1:" + hashlib.sha256(r[6].encode()).hexdigest() for r in rows}
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW product_versions AS SELECT * FROM '{tmp_path}/product_versions.parquet/*.parquet' WHERE canonical_name IS NOT NULL")
+    con.execute(f"CREATE VIEW product_versions AS SELECT * FROM '{tmp_path}/product_versions.parquet/*.parquet' WHERE id NOT IN ('half', 'sigma')")  # DuckDB reads no half of a surrogate pair, and lower-cases the dotted I as two characters
     said = con.execute(reference.ORACLE["fingerprint_versions"]).fetchall()
-    assert said and all(got[k] == f for k, f in said)
+    assert dict(said) == {k: f for k, f in got.items() if k not in ("half", "sigma")}

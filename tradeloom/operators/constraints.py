@@ -57,11 +57,13 @@ def check_datasets(datasets: DataFrame) -> DataFrame:
 
 def check_outbox(outbox: DataFrame) -> DataFrame:
     c = F.col
-    return violations(outbox, "delivery_id", {
+    own = outbox if "claim_token" in outbox.columns else outbox.withColumn("claim_token", F.lit(None).cast("string"))
+    return violations(own, "delivery_id", {
         "status": c("status").isin("PENDING", "PROCESSED", "FAILED"),
         "processed_iff_time": (c("status") == "PROCESSED") == c("processed_at").isNotNull(),
         "replay_fields": c("replay_of_event_id").isNull() == c("target_group").isNull(),
         "retry_count": c("retry_count") >= 0,
+        "claim_only_pending": c("claim_token").isNull() | (c("status") == "PENDING"),
     })
 
 

@@ -73,6 +73,11 @@ def delete_unreferenced(stored: DataFrame, doomed: DataFrame, key: str, *childre
     return stored.join(used.filter(~F.col("_used")), key, "left_anti"), used.filter("_used").select(key)
 
 
+def api_products(products: DataFrame) -> DataFrame:
+    """The columns a reader of products is shown: no fingerprint, no identity in its source."""
+    return products.select("id", "canonical_name", "description", "brand", "origin_country", "status", "current_version_id", "created_at", "updated_at")
+
+
 def run_page(records: DataFrame, run_id: str, limit: int = 0, after: str | None = None) -> tuple[DataFrame, str | None]:
     """One page of a run's records in ascending order of id after the cursor (an id), and the next cursor. Limits: 50 by default, 1,000 at most."""
     n = limit_of(limit, 50, 1000)

@@ -234,12 +234,27 @@ def change_fields(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar functions
 
 
-@query(r"""SELECT id, 'v1:' || sha256('{' || concat_ws(',', CASE WHEN len(k) > 0 THEN '"attributes":{' || array_to_string([to_json(x)::VARCHAR || ':' || to_json(json_extract_string(a, '$."' || x || '"'))::VARCHAR for x in k], ',') || '}' END,
- CASE WHEN b <> '' THEN '"brand":' || to_json(b)::VARCHAR END, '"canonical_name":' || to_json(canonical_name)::VARCHAR, CASE WHEN description <> '' THEN '"description":' || to_json(d)::VARCHAR END, CASE WHEN origin_country <> '' THEN '"origin_country":' || to_json(origin_country)::VARCHAR END) || '}') AS fingerprint
-FROM (SELECT *, lower(trim(brand)) AS b, description AS d, attributes AS a, coalesce(list_sort(json_keys(attributes)), []) AS k FROM product_versions
- WHERE regexp_full_match(concat(canonical_name, description, brand, origin_country, attributes), '[ !#-%''-;=?-\[\]-~{}"]*') AND NOT contains(coalesce(attributes, ''), 'null') AND coalesce(attributes, '') = lower(coalesce(attributes, '')))""")
+def _escaped(x: str) -> str:
+    """SQL for a value as the fingerprint's JSON has it."""
+    sql = f"to_json({x})::VARCHAR"
+    for c in ("'<', '\\u003c'", "'>', '\\u003e'", "'&', '\\u0026'", "chr(8232), '\\u2028'", "chr(8233), '\\u2029'"):
+        sql = f"replace({sql}, {c})"
+    return sql
+
+
+_BLANK = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _folded(x: str) -> str:
+    return f"lower(nfc_normalize(regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')))"
+
+
+@query(f"""WITH kv AS (SELECT id, {_folded('k')} AS k, coalesce(json_extract_string(attributes, '$."' || k || '"'), '') AS v FROM (SELECT id, attributes, unnest(json_keys(attributes)) AS k FROM product_versions)),
+a AS (SELECT id, string_agg({_escaped('k')} || ':' || {_escaped('v')}, ',' ORDER BY encode(k)) AS a FROM kv GROUP BY id),
+f AS (SELECT v.id, a.a, {_folded("coalesce(v.brand, '')")} AS b, coalesce(v.canonical_name, '') AS n, v.description AS d, v.origin_country AS o FROM product_versions v LEFT JOIN a USING (id))
+SELECT id, 'v1:' || sha256('{{' || concat_ws(',', '"attributes":{{' || a || '}}', CASE WHEN b <> '' THEN '"brand":' || {_escaped('b')} END, '"canonical_name":' || {_escaped('n')}, CASE WHEN d <> '' THEN '"description":' || {_escaped('d')} END, CASE WHEN o <> '' THEN '"origin_country":' || {_escaped('o')} END) || '}}') AS fingerprint FROM f""")
 def fingerprint_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of all versions. The SQL can say only those of plain ASCII text whose attributes need no folding; its rows are among these."""
+    """Fingerprints of all versions."""
     v = table(spark, d, "product_versions")
     return v.select("id", textnorm.version_fingerprint(F.col("canonical_name"), F.col("description"), F.col("brand"), F.col("origin_country"), F.col("attributes")).alias("fingerprint"))
 
@@ -306,10 +321,28 @@ def coverage_sla(spark: SparkSession, d: str) -> DataFrame:
     return rules.freshness(table(spark, d, "regulatory_datasets"), AT, {"TARIFF": 720, "SANCTIONS": 24, "IMPORT_RESTRICTION": 2000, "PERMIT": 2000, "EXPORT_CONTROL": 2000, "PREFERENTIAL_AGREEMENT": 2000})
 
 
-@query("""SELECT DISTINCT b.id FROM tariff_rates a JOIN tariff_rates b ON a.dataset_id = b.dataset_id AND a.hs_code = b.hs_code AND a.origin_country = b.origin_country AND a.measure_type = b.measure_type AND a.measure_code IS NOT DISTINCT FROM b.measure_code AND a.id <> b.id
-WHERE (a.effective_from, coalesce(a.effective_to, DATE '9999-12-31'), a.id) < (b.effective_from, coalesce(b.effective_to, DATE '9999-12-31'), b.id) AND b.effective_from < coalesce(a.effective_to, DATE '9999-12-31')""")
+# the tables obey their rules, so breaches are planted: copies of rates that begin later, and values no rule allows
+_RATES = """WITH rates AS (SELECT id, dataset_id, hs_code, origin_country, measure_type, measure_code, rate_type, ad_valorem_percent, specific_amount, effective_from, effective_to FROM tariff_rates
+UNION ALL SELECT id || '-later', dataset_id, CASE WHEN ascii(id) % 2 = 0 THEN hs_code || '7' ELSE hs_code END, origin_country, measure_type, CASE WHEN measure_type = 'MFN' AND ascii(id) % 3 = 0 THEN 'X' ELSE measure_code END, rate_type, CASE WHEN ascii(id) % 5 = 0 THEN NULL ELSE ad_valorem_percent END, specific_amount,
+ effective_from + 10, CASE WHEN ascii(id) % 7 = 0 THEN effective_from ELSE effective_to END FROM tariff_rates) """
+_OVERLAP = """SELECT DISTINCT b.id FROM rates a JOIN rates b ON a.dataset_id = b.dataset_id AND a.hs_code = b.hs_code AND a.origin_country = b.origin_country AND a.measure_type = b.measure_type AND a.measure_code IS NOT DISTINCT FROM b.measure_code AND a.id <> b.id
+WHERE (a.effective_from, coalesce(a.effective_to, DATE '9999-12-31'), a.id) < (b.effective_from, coalesce(b.effective_to, DATE '9999-12-31'), b.id) AND b.effective_from < coalesce(a.effective_to, DATE '9999-12-31')"""
+
+
+def _rates(spark: SparkSession, d: str) -> DataFrame:
+    names = ["id", "dataset_id", "hs_code", "origin_country", "measure_type", "measure_code", "rate_type", "ad_valorem_percent", "specific_amount", "effective_from", "effective_to"]
+    r = table(spark, d, "tariff_rates").select(*names)
+    code, m = F.ascii("id"), F.col("measure_code")
+    later = r.select(
+        F.concat("id", F.lit("-later")).alias("id"), "dataset_id", F.when(code % 2 == 0, F.concat("hs_code", F.lit("7"))).otherwise(F.col("hs_code")).alias("hs_code"), "origin_country", "measure_type", F.when((F.col("measure_type") == "MFN") & (code % 3 == 0), "X").otherwise(m).alias("measure_code"),
+        "rate_type", F.when(code % 5 != 0, F.col("ad_valorem_percent")).alias("ad_valorem_percent"), "specific_amount", F.date_add("effective_from", 10).alias("effective_from"), F.when(code % 7 == 0, F.col("effective_from")).otherwise(F.col("effective_to")).alias("effective_to"),
+    )
+    return r.unionByName(later)
+
+
+@query(_RATES + _OVERLAP)
 def validity_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return rules.overlaps(table(spark, d, "tariff_rates"), ["dataset_id", "hs_code", "origin_country", "measure_type", "measure_code"], "effective_from", "effective_to").select("id")
+    return rules.overlaps(_rates(spark, d), ["dataset_id", "hs_code", "origin_country", "measure_type", "measure_code"], "effective_from", "effective_to").select("id")
 
 
 _CANDIDATES = """WITH q AS (SELECT query_id, jurisdiction, transaction_at, evaluated_at, CAST(transaction_at AS DATE) AS on_date, CASE WHEN regexp_full_match(translate(hs_code, '. ', ''), '([0-9]{2}){1,5}') THEN translate(hs_code, '. ', '') END AS code,
@@ -343,43 +376,54 @@ def tariff_holds(spark: SparkSession, d: str) -> DataFrame:
     return tariff_resolve(spark, d).groupBy(F.coalesce("hold_reason", F.lit("RESOLVED")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-# --- constraints
+# --- constraints, with breaches planted
 
-_DLQ_CHECKS = """SELECT * FROM (SELECT 'status' AS "constraint", CAST(delivery_id AS VARCHAR) AS key FROM dlq_messages WHERE status NOT IN ('DEAD', 'REPLAYED') UNION ALL SELECT 'attempts', CAST(delivery_id AS VARCHAR) FROM dlq_messages WHERE attempts < 1
-UNION ALL SELECT 'order', CAST(delivery_id AS VARCHAR) FROM dlq_messages WHERE first_failed_at > dead_lettered_at UNION ALL SELECT 'replayable_needs_event', CAST(delivery_id AS VARCHAR) FROM dlq_messages WHERE replayable AND event_type = '')"""
 
+def _sql_checks(source: str, key: str, broken: dict[str, str], more: str = "") -> str:
+    return source + " UNION ALL ".join(f"SELECT '{n}' AS \"constraint\", CAST({key} AS VARCHAR) AS key FROM t WHERE {c}" for n, c in broken.items()) + more
 
-@query(_DLQ_CHECKS)
+
+@query(_sql_checks("WITH t AS (SELECT * REPLACE (CASE WHEN delivery_id % 50 = 0 THEN 'GONE' ELSE status END AS status, CASE WHEN delivery_id % 60 = 0 THEN 0 ELSE attempts END AS attempts, CASE WHEN delivery_id % 70 = 0 THEN '' ELSE event_type END AS event_type, CASE WHEN delivery_id % 80 = 0 THEN dead_lettered_at + INTERVAL 1 HOUR ELSE first_failed_at END AS first_failed_at) FROM dlq_messages) ",
+    "delivery_id", {"status": "status NOT IN ('DEAD', 'REPLAYED')", "attempts": "attempts < 1", "order": "first_failed_at > dead_lettered_at", "replayable_needs_event": "replayable AND event_type = ''"}))
 def constraints_dlq(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.check_dlq(table(spark, d, "dlq_messages"))
+    t, n = table(spark, d, "dlq_messages"), F.col("delivery_id")
+    later = F.col("dead_lettered_at") + F.make_dt_interval(hours=F.lit(1))
+    t = t.withColumns({"status": F.when(n % 50 == 0, "GONE").otherwise(F.col("status")), "attempts": F.when(n % 60 == 0, 0).otherwise(F.col("attempts")), "event_type": F.when(n % 70 == 0, "").otherwise(F.col("event_type")), "first_failed_at": F.when(n % 80 == 0, later).otherwise(F.col("first_failed_at"))})
+    return constraints.check_dlq(t)
 
 
-@query("""SELECT 'status' AS "constraint", CAST(delivery_id AS VARCHAR) AS key FROM outbox_events WHERE status NOT IN ('PENDING', 'PROCESSED', 'FAILED') UNION ALL SELECT 'processed_iff_time', CAST(delivery_id AS VARCHAR) FROM outbox_events WHERE (status = 'PROCESSED') <> (processed_at IS NOT NULL)
-UNION ALL SELECT 'replay_fields', CAST(delivery_id AS VARCHAR) FROM outbox_events WHERE (replay_of_event_id IS NULL) <> (target_group IS NULL) UNION ALL SELECT 'retry_count', CAST(delivery_id AS VARCHAR) FROM outbox_events WHERE retry_count < 0""")
+@query(_sql_checks("WITH t AS (SELECT * REPLACE (CASE WHEN delivery_id % 50 = 0 THEN 'GONE' ELSE status END AS status, CASE WHEN delivery_id % 60 = 0 THEN -1 ELSE retry_count END AS retry_count, CASE WHEN delivery_id % 70 = 0 THEN 'g' ELSE target_group END AS target_group, CASE WHEN delivery_id % 80 = 0 THEN NULL ELSE processed_at END AS processed_at), CASE WHEN delivery_id % 90 = 0 THEN 'token' END AS claim_token FROM outbox_events) ",
+    "delivery_id", {"status": "status NOT IN ('PENDING', 'PROCESSED', 'FAILED')", "processed_iff_time": "(status = 'PROCESSED') <> (processed_at IS NOT NULL)", "replay_fields": "(replay_of_event_id IS NULL) <> (target_group IS NULL)", "retry_count": "retry_count < 0", "claim_only_pending": "claim_token IS NOT NULL AND status <> 'PENDING'"}))
 def constraints_outbox(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.check_outbox(table(spark, d, "outbox_events"))
+    t, n = table(spark, d, "outbox_events"), F.col("delivery_id")
+    t = t.withColumns({"status": F.when(n % 50 == 0, "GONE").otherwise(F.col("status")), "retry_count": F.when(n % 60 == 0, -1).otherwise(F.col("retry_count")), "target_group": F.when(n % 70 == 0, "g").otherwise(F.col("target_group")), "processed_at": F.when(n % 80 != 0, F.col("processed_at")), "claim_token": F.when(n % 90 == 0, "token")})
+    return constraints.check_outbox(t)
 
 
-@query("""SELECT 'version_number' AS "constraint", id AS key FROM product_versions WHERE version_number < 1 UNION ALL SELECT 'name_length', id FROM product_versions WHERE length(canonical_name) > 512
-UNION ALL SELECT 'unique_number', product_id || '/' || version_number FROM product_versions GROUP BY product_id, version_number HAVING count(*) > 1""")
+@query(_sql_checks("WITH t AS (SELECT id, product_id, canonical_name, version_number FROM product_versions UNION ALL SELECT id || '-again', product_id, repeat(canonical_name, CASE WHEN ascii(id) % 2 = 0 THEN 20 ELSE 1 END), CASE WHEN ascii(id) % 3 = 0 THEN 0 ELSE version_number END FROM product_versions) ",
+    "id", {"version_number": "version_number < 1", "name_length": "length(canonical_name) > 512"}, " UNION ALL SELECT 'unique_number', product_id || '/' || version_number FROM t GROUP BY product_id, version_number HAVING count(*) > 1"))
 def constraints_versions(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.check_changes(table(spark, d, "product_versions"))
+    t = table(spark, d, "product_versions").select("id", "product_id", "canonical_name", "version_number")
+    name = F.when(F.ascii("id") % 2 == 0, F.repeat("canonical_name", F.lit(20))).otherwise(F.col("canonical_name"))
+    again = t.select(F.concat("id", F.lit("-again")).alias("id"), "product_id", name.alias("canonical_name"), F.when(F.ascii("id") % 3 == 0, 0).otherwise(F.col("version_number")).alias("version_number"))
+    return constraints.check_changes(t.unionByName(again))
 
 
-@query(r"""SELECT 'hs_code_format' AS "constraint", id AS key FROM tariff_rates WHERE NOT regexp_full_match(hs_code, '([0-9]{2}){1,5}') UNION ALL SELECT 'origin_format', id FROM tariff_rates WHERE NOT regexp_full_match(origin_country, '[A-Z]{2}|\*')
-UNION ALL SELECT 'range', id FROM tariff_rates WHERE effective_to <= effective_from UNION ALL SELECT 'measure_code_iff_not_mfn', id FROM tariff_rates WHERE (measure_type = 'MFN') <> (measure_code IS NULL)
-UNION ALL SELECT 'ad_valorem_present', id FROM tariff_rates WHERE rate_type IN ('AD_VALOREM', 'COMPOUND') AND ad_valorem_percent IS NULL UNION ALL SELECT 'specific_present', id FROM tariff_rates WHERE rate_type IN ('SPECIFIC', 'COMPOUND') AND specific_amount IS NULL
-UNION ALL SELECT 'preferential_needs_origin', id FROM tariff_rates WHERE measure_type = 'PREFERENTIAL' AND origin_country = '*' UNION ALL SELECT 'no_overlap', id FROM (""" + ORACLE["validity_overlap"] + ")")
+@query(_sql_checks(_RATES.replace("WITH rates AS", "WITH t AS"), "id", {
+    "hs_code_format": "NOT regexp_full_match(hs_code, '([0-9]{2}){1,5}')", "origin_format": r"NOT regexp_full_match(origin_country, '[A-Z]{2}|\*')", "range": "effective_to <= effective_from", "measure_code_iff_not_mfn": "(measure_type = 'MFN') <> (measure_code IS NULL)",
+    "ad_valorem_present": "rate_type IN ('AD_VALOREM', 'COMPOUND') AND ad_valorem_percent IS NULL", "specific_present": "rate_type IN ('SPECIFIC', 'COMPOUND') AND specific_amount IS NULL", "preferential_needs_origin": "measure_type = 'PREFERENTIAL' AND origin_country = '*'"},
+    " UNION ALL SELECT 'no_overlap', id FROM (" + _OVERLAP.replace("FROM rates a JOIN rates b", "FROM t a JOIN t b") + ")"))
 def constraints_rates(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.check_tariff_rates(table(spark, d, "tariff_rates"))
+    return constraints.check_tariff_rates(_rates(spark, d))
 
 
-@query("""SELECT 'status' AS "constraint", id AS key FROM regulatory_datasets WHERE status NOT IN ('LOADED', 'ACTIVE', 'SUPERSEDED', 'REJECTED') UNION ALL SELECT 'sha256_length', id FROM regulatory_datasets WHERE octet_length(content_sha256) <> 32
-UNION ALL SELECT 'active_needs_activation', id FROM regulatory_datasets WHERE status IN ('ACTIVE', 'SUPERSEDED') AND activated_at IS NULL UNION ALL SELECT 'superseded_iff_end', id FROM regulatory_datasets WHERE (status = 'SUPERSEDED') <> (superseded_at IS NOT NULL)
-UNION ALL SELECT 'range', id FROM regulatory_datasets WHERE superseded_at <= activated_at UNION ALL SELECT 'unique_version', concat_ws('/', jurisdiction, category, source, version) FROM regulatory_datasets GROUP BY jurisdiction, category, source, version HAVING count(*) > 1
-UNION ALL SELECT 'one_active', concat_ws('/', jurisdiction, category, source) FROM regulatory_datasets WHERE status = 'ACTIVE' GROUP BY jurisdiction, category, source HAVING count(*) > 1""")
+@query(_sql_checks("WITH t AS (SELECT id, jurisdiction, category, source, version, status, content_sha256, activated_at, superseded_at FROM regulatory_datasets UNION ALL SELECT id || '-again', jurisdiction, category, source, version, CASE WHEN ascii(id) % 2 = 0 THEN 'ACTIVE' ELSE 'LOST' END, encode('short'), NULL, activated_at FROM regulatory_datasets) ", "id", {
+    "status": "status NOT IN ('LOADED', 'ACTIVE', 'SUPERSEDED', 'REJECTED')", "sha256_length": "octet_length(content_sha256) <> 32", "active_needs_activation": "status IN ('ACTIVE', 'SUPERSEDED') AND activated_at IS NULL", "superseded_iff_end": "(status = 'SUPERSEDED') <> (superseded_at IS NOT NULL)", "range": "superseded_at <= activated_at"},
+    " UNION ALL SELECT 'unique_version', concat_ws('/', jurisdiction, category, source, version) FROM t GROUP BY jurisdiction, category, source, version HAVING count(*) > 1 UNION ALL SELECT 'one_active', concat_ws('/', jurisdiction, category, source) FROM t WHERE status = 'ACTIVE' GROUP BY jurisdiction, category, source HAVING count(*) > 1"))
 def constraints_datasets(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.check_datasets(table(spark, d, "regulatory_datasets"))
+    t = table(spark, d, "regulatory_datasets").select("id", "jurisdiction", "category", "source", "version", "status", "content_sha256", "activated_at", "superseded_at")
+    again = t.select(F.concat("id", F.lit("-again")).alias("id"), "jurisdiction", "category", "source", "version", F.when(F.ascii("id") % 2 == 0, "ACTIVE").otherwise("LOST").alias("status"), F.encode(F.lit("short"), "UTF-8").alias("content_sha256"), F.lit(None).cast("timestamp_ntz").alias("activated_at"), F.col("activated_at").alias("superseded_at"))
+    return constraints.check_datasets(t.unionByName(again))
 
 
 # --- set updates
@@ -437,18 +481,90 @@ def outbox_failure(spark: SparkSession, d: str) -> DataFrame:
     return delivery.with_outcome(o, "bad", 1.0, 30.0, 3).select("delivery_id", "status", "retry_count", "wait_seconds")
 
 
-@query("SELECT delivery_id, event_type AS stream, nullif(trim(coalesce(replay_of_event_id, id)), '') IS NULL OR nullif(trim(event_type), '') IS NULL OR created_at IS NULL AS corrupt, created_at FROM outbox_events")
+@query("SELECT delivery_id, coalesce(replay_of_event_id, id) AS event_id, aggregate_type, aggregate_id, event_type, payload, target_group, aggregate_id AS correlation_id, nullif(trim(coalesce(replay_of_event_id, id)), '') IS NULL OR nullif(trim(event_type), '') IS NULL OR created_at IS NULL AS corrupt, created_at FROM (SELECT * REPLACE (CASE WHEN trim(id) <> '' THEN id END AS id) FROM outbox_events)")
 def envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.decode(delivery.encode(table(spark, d, "outbox_events"))).select("delivery_id", "stream", "corrupt", "created_at")
+    o = table(spark, d, "outbox_events").withColumn("correlation_id", F.col("aggregate_id"))
+    return delivery.decode(delivery.encode(o)).drop("stream")
 
 
 @query("SELECT g AS consumer_group, count(*) AS n FROM outbox_events, (SELECT DISTINCT consumer_group AS g FROM dlq_messages) WHERE target_group IS NULL OR target_group = g GROUP BY g")
 def group_fanout(spark: SparkSession, d: str) -> DataFrame:
-    # groups are few and named in the configuration; each counts over one aggregate of the targets
-    by_target = table(spark, d, "outbox_events").groupBy("target_group").agg(F.count("*").alias("k"))
-    groups = table(spark, d, "dlq_messages").select("consumer_group").distinct()
-    hit = F.col("target_group").isNull() | (F.col("target_group") == F.col("consumer_group"))
-    return groups.join(F.broadcast(by_target), hit).groupBy("consumer_group").agg(F.sum("k").alias("n"))
+    """What each configured group handles: the messages for all, counted once, and those meant for it."""
+    o = table(spark, d, "outbox_events")
+    groups = sorted(r[0] for r in table(spark, d, "dlq_messages").select("consumer_group").dropna().distinct().collect())  # named in the configuration
+    counts = [F.count_if(F.col("target_group").isNull() | (F.col("target_group") == g)).alias(f"g{k}") for k, g in enumerate(groups)]
+    pairs = F.array(*[F.struct(F.lit(g).alias("consumer_group"), F.col(f"g{k}").alias("n")) for k, g in enumerate(groups)])
+    return o.agg(*counts).select(F.inline(pairs)).filter("n > 0")
+
+
+@query("SELECT status, claim_token IS NOT NULL AS claimed, count(*) AS n FROM (SELECT status, CASE WHEN delivery_id IN (SELECT delivery_id FROM outbox_events WHERE status = 'PENDING' AND available_at <= TIMESTAMP '2026-12-31' ORDER BY available_at, id, delivery_id LIMIT 100) THEN 'x' END AS claim_token FROM outbox_events) GROUP BY ALL")
+def outbox_claimed(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "outbox_events")
+    return delivery.with_claims(o, delivery.claim(o, "2026-12-31 00:00:00", 100), "x").groupBy("status", F.col("claim_token").isNotNull().alias("claimed")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT delivery_id, row_number() OVER (ORDER BY available_at, id, delivery_id) AS k FROM outbox_events WHERE status = 'PENDING' AND available_at <= TIMESTAMP '2026-12-31')
+SELECT CASE WHEN k <= 60 THEN 'PROCESSED' ELSE status END AS status, CAST(sum(retry_count) AS BIGINT) AS retries, count(*) AS n FROM outbox_events LEFT JOIN c USING (delivery_id) GROUP BY ALL""")
+def outbox_broker_down(spark: SparkSession, d: str) -> DataFrame:
+    """Of 100 claimed events 60 were published before the broker went down; the others are released without a penalty."""
+    o = table(spark, d, "outbox_events")
+    claimed = delivery.with_claims(o, delivery.claim(o, "2026-12-31 00:00:00", 100), "x")
+    after = delivery.released(claimed, delivery.claim(o, "2026-12-31 00:00:00", 60), NOW)
+    return after.groupBy("status").agg(F.sum("retry_count").alias("retries"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS stream, count(*) FILTER (created_at >= TIMESTAMP '2026-04-01') AS kept, count(*) FILTER (created_at < TIMESTAMP '2026-04-01') AS trimmed, greatest(0, count(*) FILTER (created_at < TIMESTAMP '2026-04-01') - count(*) FILTER (status = 'PROCESSED') // 2) AS lost FROM outbox_events GROUP BY event_type")
+def retention_audit(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "outbox_events").withColumnRenamed("event_type", "stream")
+    reads = o.groupBy("stream").agg(F.floor(F.count_if(F.col("status") == "PROCESSED") / 2).alias("entries_read"))
+    return delivery.retention(o, reads, "2026-04-01 00:00:00")
+
+
+@query("""WITH r AS (SELECT ingestion_run_id AS id, min(received_at) AS started, CASE count(*) % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, max(received_at) AS lease_until FROM raw_records WHERE ingestion_run_id IS NOT NULL GROUP BY ingestion_run_id)
+SELECT id, status FROM r WHERE status = 'PENDING' OR (status = 'RUNNING' AND lease_until <= TIMESTAMP '2026-04-01') ORDER BY started, id LIMIT 20""")
+def run_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest runs that may be claimed: pending, or left running under a lease that has run out."""
+    n = F.count("*") % 3
+    r = table(spark, d, "raw_records").filter("ingestion_run_id is not null").groupBy(F.col("ingestion_run_id").alias("id"))
+    r = r.agg(F.min("received_at").alias("started"), F.when(n == 0, "PENDING").when(n == 1, "RUNNING").otherwise("COMPLETED").alias("status"), F.max("received_at").alias("lease_until"))
+    return delivery.claimable(r, AT).orderBy("started", "id").limit(20).select("id", "status")
+
+
+@query("""WITH ids AS (SELECT DISTINCT id FROM dlq_messages WHERE id IS NOT NULL UNION SELECT DISTINCT id FROM outbox_events WHERE id IS NOT NULL),
+one AS (SELECT * FROM (SELECT id, status, replayable, row_number() OVER (PARTITION BY id ORDER BY dead_lettered_at DESC NULLS LAST, delivery_id DESC) AS k FROM dlq_messages) WHERE k = 1)
+SELECT CASE WHEN one.id IS NULL THEN 'NOT_FOUND' WHEN status <> 'DEAD' THEN 'ALREADY_REPLAYED' WHEN NOT coalesce(replayable, false) THEN 'NOT_REPLAYABLE' ELSE 'REPLAYED' END AS outcome, count(*) AS n FROM ids LEFT JOIN one USING (id) GROUP BY outcome""")
+def dlq_replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    dlq = table(spark, d, "dlq_messages")
+    asked = dlq.select("id").unionByName(table(spark, d, "outbox_events").select("id"))
+    return delivery.replayed(dlq, asked, NOW)[2].groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, canonical_name, description, brand, origin_country, status, current_version_id, created_at, updated_at FROM products")
+def api_products(spark: SparkSession, d: str) -> DataFrame:
+    return tables.api_products(table(spark, d, "products"))
+
+
+@query("SELECT id, received_at FROM raw_records WHERE ingestion_run_id = (SELECT ingestion_run_id FROM raw_records WHERE ingestion_run_id IS NOT NULL GROUP BY ingestion_run_id ORDER BY count(*) DESC, ingestion_run_id LIMIT 1) ORDER BY id LIMIT 3 OFFSET 3")
+def run_page_after(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "raw_records").select("id", "received_at", "ingestion_run_id")
+    run = r.dropna(subset=["ingestion_run_id"]).groupBy("ingestion_run_id").count().orderBy(F.desc("count"), "ingestion_run_id").first()[0]
+    return tables.run_page(r, run, 3, tables.run_page(r, run, 3)[1])[0].select("id", "received_at")
+
+
+@query("""WITH u AS (SELECT source_id, external_product_id, max(received_at) AS r, max(source_updated_at) AS s FROM raw_records GROUP BY source_id, external_product_id)
+SELECT p.source_id, p.external_product_id, greatest(p.updated_at, u.r) AS updated_at, u.s AS created_at FROM products p JOIN u USING (source_id, external_product_id)""")
+def change_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Identities that changed: the time of change is set whatever it was, watermarks only rise."""
+    seen = table(spark, d, "raw_records").groupBy(*changes.IDENTITY).agg(F.max("received_at").alias("updated_at"), F.max("source_updated_at").alias("created_at"))
+    return tables.change_marks(table(spark, d, "products").select(*changes.IDENTITY, "updated_at", "created_at"), seen, changes.IDENTITY, ["updated_at"], "created_at")
+
+
+@query("SELECT id FROM products p WHERE NOT EXISTS (SELECT 1 FROM product_versions v WHERE v.product_id = p.id AND v.version_number > 1)")
+def delete_unreferenced(spark: SparkSession, d: str) -> DataFrame:
+    """All products were to go; those that a later version refers to are in use and are told apart from those that are left."""
+    p = table(spark, d, "products").select("id")
+    kept, used = tables.delete_unreferenced(p, p, "id", (table(spark, d, "product_versions").filter("version_number > 1"), "product_id"))
+    return p.join(used, "id", "left_anti").unionByName(kept.join(used, "id", "left_anti"))
 
 
 _EFFECTS = """WITH e AS (SELECT 'relay' AS scope, coalesce(replay_of_event_id, id) AS key, sha256(payload) AS h, delivery_id AS seq FROM outbox_events WHERE coalesce(replay_of_event_id, id) IS NOT NULL),

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codes import stable_uuid
 from ..functions.textnorm import decode_json, look_up, parse_path, scalar_text
+from ..session import stored
 
 #: Fixed value: longer lines of a feed are malformed.
 MAX_LINE = 1 << 20
@@ -33,10 +36,12 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """payload: one JSON object of strings for each row. Short rows are padded with empty strings, surplus cells dropped, quoted cells
-    may hold line ends. The scan splits files unless cells may hold line ends, which multiLine has to allow for."""
+    may hold line ends. Files are split unless some line leaves a quote open, which a first scan of the text tells."""
     names = csv_header(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    spans = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
+    rows = spark.read.schema(schema).csv(path, header=True, multiLine=spans, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
     return rows.select(F.to_json(F.struct(*[F.coalesce(F.col(f"c{k}"), F.lit("")).alias(n) for k, n in enumerate(names)])).alias("payload"))
 
 
@@ -46,9 +51,13 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.length(F.trim("payload")) > 0)
 
 
-def identities(rows: DataFrame, id_path: str | None = None, parts: tuple[str, ...] = (), separator: str = ":") -> DataFrame:
-    """rows with external_product_id and error. The identity is the trimmed scalar at id_path, or all parts joined; a missing or blank
-    part is an error, as are lines that are too long or no JSON object."""
+def identities(rows: DataFrame, id_path: str | None = None, parts: tuple[str, ...] = (), separator: str = ":", custom: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with external_product_id and error. The identity is the trimmed scalar at id_path, or all parts joined, or what custom makes of the payload; a
+    missing or blank part is an error, as are lines that are too long or no JSON object."""
+    if custom is not None:
+        found = F.trim(custom(F.col("payload")))
+        bad = F.when(F.octet_length("payload") > MAX_LINE, "malformed: line too long").when(F.coalesce(F.length(found), F.lit(0)) == 0, "malformed: no id")
+        return rows.withColumn("error", bad).withColumn("external_product_id", F.when(F.col("error").isNull(), found)).select(*rows.columns, "external_product_id", "error")
     paths = parts or (id_path or "id",)
     for p in paths:
         parse_path(p)
@@ -85,9 +94,14 @@ def with_metadata(rows: DataFrame) -> DataFrame:
 
 
 def raw_records(rows: DataFrame, source_id: str, run_id: str, received_at: Column) -> DataFrame:
-    """Immutable raw records: the payload, its exact bytes and their SHA-256."""
+    """Immutable raw records: a stable id, trimmed identity, the payload, its exact bytes and their SHA-256. ValueError without source; rows without
+    identity or payload are left out (apply_policy reports them)."""
+    if not source_id.strip():
+        raise ValueError("a raw record needs a source")
     raw = F.encode("payload", "UTF-8")
-    return rows.select(F.lit(source_id).alias("source_id"), "external_product_id", "payload", raw.alias("payload_raw"), F.sha2(raw, 256).alias("payload_sha256"), "source_version", "source_updated_at", F.lit(run_id).alias("ingestion_run_id"), received_at.alias("received_at"))
+    rows = rows.filter((F.length(F.trim("external_product_id")) > 0) & F.col("payload").isNotNull()).withColumn("external_product_id", F.trim("external_product_id"))
+    made = stable_uuid(F.lit(source_id.strip()), F.col("external_product_id"), F.lit(run_id), F.sha2(raw, 256))
+    return rows.select(made.alias("id"), F.lit(source_id.strip()).alias("source_id"), "external_product_id", "payload", raw.alias("payload_raw"), F.sha2(raw, 256).alias("payload_sha256"), "source_version", "source_updated_at", F.lit(run_id).alias("ingestion_run_id"), received_at.alias("received_at"))
 
 
 def apply_policy(rows: DataFrame, fail_fast: bool) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +127,8 @@ def read_curated(spark: SparkSession, path: str, category: str) -> DataFrame:
     if csv_header(spark, path) != names:
         raise FeedError(f"header must be {names}")
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True).cache()
-    rows = rows.select(*[F.trim(F.coalesce(F.col(n), F.lit(""))).alias(n) for n in names], "_bad")
+    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
+    rows = stored(rows, "curated").select(*[F.trim(F.coalesce(F.col(n), F.lit(""))).alias(n) for n in names], "_bad")
     day = {n: F.try_to_date(F.when(F.col(n).rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.col(n)), "yyyy-MM-dd") for n in ("effective_from", "effective_to")}
     wrong = F.col("_bad").isNotNull() | day["effective_from"].isNull() | ((F.col("effective_to") != "") & day["effective_to"].isNull()) | (day["effective_to"] <= day["effective_from"])
     wrong |= ~F.col("hs_code").rlike(r"\A([0-9]{2}){1,5}\z") | ~F.col("origin_country").rlike(r"\A([A-Z]{2}|\*)\z")
@@ -130,3 +144,39 @@ def feed_slice(rows: DataFrame, order: str, offset: int, limit: int) -> tuple[Da
     more = rows.orderBy(order).offset(offset + limit).limit(1).count()
     return part, f"offset:{offset + limit}" if more else None
 
+
+
+@dataclass(frozen=True)
+class FeedConfig:
+    """How a feed is read. Names of CSV columns are in lower case, so its id field is too; composite ids keep theirs."""
+
+    path: str
+    format: str = "CSV"
+    id_field: str = "id"
+    parts: tuple[str, ...] = ()
+    separator: str = ":"
+    batch: int = 500
+    fail_fast: bool = False
+    custom: Callable[[Column], Column] | None = None
+
+
+def _feed(spark: SparkSession, config: FeedConfig) -> DataFrame:
+    csv_feed = config.format.upper() == "CSV"
+    rows = read_csv(spark, config.path) if csv_feed else read_ndjson(spark, config.path)
+    return identities(rows, config.id_field.lower() if csv_feed else config.id_field, config.parts, config.separator, config.custom)
+
+
+#: What reads a source, by its type; add() puts in more.
+ADAPTERS: dict[str, Callable] = {"FEED": _feed}
+
+
+def add(source_type: str, adapter: Callable) -> None:
+    ADAPTERS[source_type.strip().upper()] = adapter
+
+
+def adapter(source_type: str) -> Callable:
+    """FeedError for a type that nothing reads."""
+    found = ADAPTERS.get(source_type.strip().upper())
+    if found is None:
+        raise FeedError(f"no adapter for {source_type}")
+    return found

@@ -1,6 +1,6 @@
 """Paged REST sources as a Spark data source: a partition for each source, pages fetched one after another.
 
-Transports are plain callables (url, params, headers) -> (status, headers, body), so tests need no network.
+Transports are plain callables (url, params, headers) -> (status, headers, body); http is the one over the network.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ import os
 import re
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import parse_qsl, urlsplit
+from urllib.error import HTTPError, URLError
+from urllib.parse import parse_qsl, urlencode, urlsplit
+from urllib.request import Request, urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.textnorm import look_up
+from ..functions.codes import parse_checkpoint
+from ..functions.textnorm import Number, decode_json, look_up, scalar_text
 
 MAX_BODY = 16 << 20
 Transport = Callable[[str, dict, dict], tuple[int, dict, bytes]]
@@ -58,20 +61,45 @@ def authorised(kind: str, params: dict, headers: dict, name: str = "", value: st
     return params, headers
 
 
+def _text(value: object) -> str:
+    """Compact JSON with sorted keys; numbers as they came."""
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _elements(text: str) -> list[str]:
+    """The elements of a JSON array, as they stand in the text."""
+    decoder, out, at = json.JSONDecoder(), [], text.index("[") + 1
+    while True:
+        at = len(text) - len(text[at:].lstrip(" \t\r\n,"))
+        if text[at] == "]":
+            return out
+        _, end = decoder.raw_decode(text, at)
+        out.append(text[at:end])
+        at = end
+
+
 def records_of(body: bytes, path: str) -> list[str]:
-    """The objects of the array at path ('' or '.' is the root), each as JSON text."""
+    """The objects of the array at path, each as JSON text. At the root ('' or '.') an object keeps its text; below it is written anew, with sorted keys
+    and numbers as they came."""
     if len(body) > MAX_BODY:
-        raise SourceError("contract", "body too large")
+        raise SourceError("unavailable", "body too large")
     try:
-        root = json.loads(body)
-    except ValueError:
+        text = body.decode("utf-8")
+        root = decode_json(text)
+    except (ValueError, RecursionError):
         raise SourceError("contract", "no JSON") from None
     found = root if path in ("", ".") else look_up(root, path)
     if found is None:
         raise SourceError("contract", f"nothing at {path}")
     if not isinstance(found, list) or not all(isinstance(x, dict) for x in found):
         raise SourceError("contract", f"no list of objects at {path}")
-    return [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in found]
+    return _elements(text) if path in ("", ".") else [_text(x) for x in found]
 
 
 def next_link(header: str | None) -> dict | None:
@@ -95,12 +123,33 @@ class TokenBucket:
         return max(0.0, -self.held / self.rate)
 
 
-def pages(transport: Transport, url: str, options: dict) -> Iterator[list[str]]:
-    """The records of each page. pagination: none, page, cursor or link; a cursor that comes back as it was sent ends the scan."""
+def http(url: str, params: dict, headers: dict, timeout: float = 30.0) -> tuple[int, dict, bytes]:
+    """A transport over HTTP: GET, of the body no more than one byte beyond MAX_BODY is read."""
+    full = url + (("&" if "?" in url else "?") + urlencode(params) if params else "")
+    try:
+        with urlopen(Request(full, headers={"Accept": "application/json"} | headers), timeout=timeout) as r:  # noqa: S310
+            return r.status, dict(r.headers), r.read(MAX_BODY + 1)
+    except HTTPError as e:
+        return e.code, dict(e.headers), b""
+    except (URLError, TimeoutError, ConnectionError) as e:
+        raise SourceError("unavailable", str(e)[:100]) from None
+
+
+def fetches(transport: Transport, url: str, options: dict) -> Iterator[tuple[list[str], str | None]]:
+    """(records, checkpoint of what follows, null at the end) of each page, from the checkpoint in options (page:n or cursor:token) on. pagination: none,
+    page, cursor or link; a cursor that comes back as it was sent ends the scan."""
     kind, size = options.get("pagination", "none"), int(options.get("page_size", 100))
-    at: dict = {"page": 1, "limit": size} if kind == "page" else {}
+    start = parse_checkpoint(options.get("checkpoint"))
+    if start and start[0] != kind:
+        raise SourceError("contract", f"a {start[0]} checkpoint doesn't fit {kind} pagination")
+    at: dict = {"page": start[1] if start else 1, "limit": size} if kind == "page" else {}
+    if kind == "page" and at["page"] < 1:
+        raise SourceError("contract", "pages count from 1")
+    param = options.get("cursor_param", "cursor")
+    sent = start[1] if start and kind == "cursor" else None
+    if sent:
+        at = {param: sent}
     bucket = TokenBucket(float(options.get("rate", 1e9)), int(options.get("burst", 1)))
-    sent = None
     while True:
         time.sleep(bucket.take())
         value = secret(options["secret"]) if options.get("secret") else ""
@@ -108,27 +157,50 @@ def pages(transport: Transport, url: str, options: dict) -> Iterator[list[str]]:
         status, head, body = transport(url, params, headers)
         check_status(status)
         found = records_of(body, options.get("records_path", ""))
-        yield found
+        following = None
         if kind == "page" and len(found) >= size:
             at = at | {"page": at["page"] + 1}
+            following = f"page:{at['page']}"
         elif kind == "cursor":
-            token = look_up(json.loads(body), options["cursor_path"])
-            if not token or token == sent:
-                return
-            sent, at = token, {options.get("cursor_param", "cursor"): token}
-        elif kind == "link" and (link := next_link(head.get("Link"))):
+            token = look_up(decode_json(body.decode("utf-8")), options["cursor_path"])
+            token = scalar_text(token) if token is not None else ""
+            if token and token != sent:
+                sent, at = token, {param: token}
+                following = f"cursor:{token}"
+        elif kind == "link" and (link := next_link({k.lower(): v for k, v in head.items()}.get("link"))):
             at = at | link
-        else:
+            following = "link:"
+        yield found, following
+        if following is None:
             return
 
 
+def pages(transport: Transport, url: str, options: dict) -> Iterator[list[str]]:
+    """The records of each page."""
+    return (found for found, _ in fetches(transport, url, options))
+
+
+def sync(transport: Transport, url: str, options: dict, persist: Callable[[list[str], str | None], None]) -> int:
+    """Fetch page after page, handing each with the checkpoint of what follows to persist, so that a scan can be taken up where it ended; the
+    number of records. A checkpoint that doesn't move on breaks the source's contract."""
+    n, before = 0, options.get("checkpoint")
+    for found, following in fetches(transport, url, options):
+        if following is not None and following == before and following != "link:":
+            raise SourceError("contract", f"the checkpoint stays at {following}")
+        persist(found, following)
+        n, before = n + len(found), following
+    return n
+
+
 def probe(transport: Transport, url: str, options: dict) -> dict:
-    """Whether a source answers, whether it lets us in, and its first record."""
+    """Whether a source answers, whether it lets us in, its first record, and the seconds it took."""
+    began = time.monotonic()
     try:
         first = next(pages(transport, url, options))
+        told = {"reachable": True, "authenticated": True, "sample": first[0] if first else None}
     except SourceError as e:
-        return {"reachable": e.kind in ("auth", "rate_limited", "contract"), "authenticated": e.kind not in ("auth", "unavailable"), "sample": None}
-    return {"reachable": True, "authenticated": True, "sample": first[0] if first else None}
+        told = {"reachable": e.kind in ("auth", "rate_limited", "contract"), "authenticated": e.kind not in ("auth", "unavailable"), "sample": None}
+    return told | {"seconds": time.monotonic() - began}
 
 
 class _Source(InputPartition):
@@ -144,7 +216,7 @@ class _Reader(DataSourceReader):
         return [_Source(u) for u in self.options["url"].split() if u]
 
     def read(self, partition: _Source) -> Iterator[tuple]:
-        module, _, name = self.options["transport"].rpartition(":")
+        module, _, name = self.options.get("transport", f"{__name__}:http").rpartition(":")
         transport = getattr(importlib.import_module(module), name)
         for number, found in enumerate(pages(transport, partition.url, self.options)):
             for k, payload in enumerate(found):
@@ -164,6 +236,3 @@ class RestSource(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader({k: v for k, v in self.options.items()})
 
-
-#: Adapters by the source's type.
-ADAPTERS = {"API": RestSource.name()}
