@@ -109,6 +109,6 @@ def test_all_versions_have_a_fingerprint(spark, tmp_path):
     got = {r.id: r.fingerprint for r in reference.QUERIES["fingerprint_versions"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: "v1:" + hashlib.sha256(r[6].encode()).hexdigest() for r in rows}
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW product_versions AS SELECT * FROM '{tmp_path}/product_versions.parquet/*.parquet' WHERE id NOT IN ('half', 'sigma')")  # DuckDB reads no half of a surrogate pair, and lower-cases the dotted I as two characters
+    con.execute(f"CREATE VIEW product_versions AS SELECT * FROM '{tmp_path}/product_versions.parquet/*.parquet' WHERE id NOT IN ('half', 'sigma', 'marks')")  # DuckDB reads no half of a surrogate pair, lower-cases the dotted I as two characters, and writes control characters in upper-case hex
     said = con.execute(reference.ORACLE["fingerprint_versions"]).fetchall()
-    assert dict(said) == {k: f for k, f in got.items() if k not in ("half", "sigma")}
+    assert dict(said) == {k: f for k, f in got.items() if k not in ("half", "sigma", "marks")}
