@@ -92,3 +92,44 @@ def test_snapshots_are_published_whole(spark):
     assert store.read("a").count() == 3
     store.publish({"a": spark.range(4)}, one)
     assert store.read("a").count() == 4 and store.read("b").count() == 1 and store.read("c") is None
+
+
+def test_rule_tables(spark):
+    from tradeloom.operators.constraints import RULE_TABLES, check_idempotency, check_product_changes, check_rules, check_runs
+
+    sets = spark.createDataFrame([(f"d{k}", t.category) for k, t in enumerate(RULE_TABLES.values())], "id string, category string")
+    good = {"hs_code": "8516", "origin_country": "CN", "destination_country": "*", "partner_country": "VN", "agreement_code": "PACT_1", "entity_type": "VESSEL"}
+    for k, (name, t) in enumerate(RULE_TABLES.items()):
+        columns = ["id", "dataset_id", *dict.fromkeys([*t.texts, *t.patterns, *t.key]), "source_reference", "effective_from", "effective_to"]
+        schema = ", ".join(f"{c} {'date' if c.startswith('effective') else 'string'}" for c in columns)
+
+        def row(i, start=D(2026, 1, 1), end=None, dataset=f"d{k}", columns=columns, **other):
+            known = {"id": i, "dataset_id": dataset, "effective_from": start, "effective_to": end} | other
+            return tuple(known[c] if c in known else good.get(c, f"text {c}") for c in columns)
+
+        first = t.key[0]
+        rows = [row("a", end=D(2026, 2, 1)), row("b", start=D(2026, 2, 1)), row("c", start=D(2026, 3, 1)), row("r", start=D(2020, 1, 1), end=D(2020, 1, 1)), row("x", start=D(2010, 1, 1), end=D(2011, 1, 1), dataset="elsewhere"), row("s", start=D(2012, 1, 1), end=D(2013, 1, 1), source_reference=" ")]
+        if first in t.patterns:
+            rows.append(row("p", start=D(2014, 1, 1), end=D(2015, 1, 1), **{first: "?"}))
+        got = {(r.constraint, r.key) for r in check_rules(spark.createDataFrame(rows, schema), sets, name).collect()}
+        want = {("no_overlap", "c"), ("range", "r"), ("dataset_of_category", "x"), ("source_reference_present", "s")} | ({(f"{first}_format", "p")} if first in t.patterns else set())
+        assert got == want, (name, got)
+    keys = "scope string, key string, status string, payload_hash binary, lease_token string, lease_expires_at timestamp_ntz, attempts int, completed_at timestamp_ntz"
+    at, h = TS(2026, 1, 1), b"x" * 32
+    rows = [("s", "open", "IN_PROGRESS", h, "t", at, 1, None), ("s", "done", "COMPLETED", h, None, None, 2, at), ("s", "bad", "COMPLETED", h, "t", at, 1, at), ("s", "short", "COMPLETED", b"x", None, None, 0, at), ("s", "open", "IN_PROGRESS", h, "t", at, 1, None)]
+    got = {(r.constraint, r.key) for r in check_idempotency(spark.createDataFrame(rows, keys)).collect()}
+    assert got == {("state", "bad"), ("hash_length", "short"), ("attempts", "short"), ("unique_key", "s/open")}
+    runs = spark.createDataFrame([("1", "s", "PENDING"), ("2", "s", "RUNNING"), ("3", "t", "RUNNING"), ("4", "t", "LOST")], "id string, source_id string, status string")
+    assert {(r.constraint, r.key) for r in check_runs(runs).collect()} == {("status", "4"), ("one_active_run", "s")}
+    changes = spark.createDataFrame([("1", "v", "NEW"), ("2", "v", "CHANGED"), ("3", "w", "OLD")], "id string, to_version_id string, change_type string")
+    assert {(r.constraint, r.key) for r in check_product_changes(changes).collect()} == {("change_type", "3"), ("unique_to_version", "v")}
+
+
+def test_checkpoint_texts():
+    from tradeloom.functions.codes import format_checkpoint
+
+    for kind, value in (("offset", 7), ("page", 3), ("cursor", "tok:en"), ("time", TS(2026, 1, 2, 3, tzinfo=dt.UTC))):
+        assert parse_checkpoint(format_checkpoint(kind, value)) == (kind, value)
+    assert format_checkpoint("cursor", " ") == "" and format_checkpoint("cursor", "cursor:x") == "cursor:x"
+    with pytest.raises(ValueError):
+        format_checkpoint("offset", -1)

@@ -49,6 +49,11 @@ def backoff_seconds(attempt: Column, base: float, most: float) -> Column:
     return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(attempt, F.lit(1000))))
 
 
+def full_jitter(wait: Column) -> Column:
+    """A random wait of at most `wait`."""
+    return wait * F.rand()
+
+
 def retries_fit(attempts: int, timeout: float, longest_wait: float, min_idle: float) -> bool:
     """Whether all attempts and waits end before others may take the message over."""
     return attempts * timeout + (attempts - 1) * longest_wait < min_idle
@@ -59,6 +64,11 @@ def sanitised(c: Column, most: int) -> Column:
     return F.substring(F.translate(F.make_valid_utf8(c), "\x00", ""), 1, most)
 
 
+def intact(c: Column, most: int) -> Column:
+    """Whether sanitised leaves the text as it is."""
+    return F.coalesce(sanitised(c, most) == c, F.lit(True))
+
+
 def stable_uuid(*parts: Column) -> Column:
     """A UUID that depends on its parts only, so that a plan that runs again gives the same."""
     h = F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
@@ -98,3 +108,15 @@ def parse_checkpoint(text: str | None) -> tuple[str, object] | None:
     if kind.lower() == "cursor" and rest:
         return "cursor", rest
     return "time", dt.datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+
+
+def format_checkpoint(kind: str, value: object) -> str:
+    """The text parse_checkpoint reads; '' for an empty cursor."""
+    if kind == "time":
+        return value.astimezone(dt.UTC).isoformat().replace("+00:00", "Z")  # type: ignore[attr-defined]
+    if kind in ("offset", "page"):
+        if int(value) < 0:  # type: ignore[call-overload]
+            raise ValueError("checkpoints count from 0")
+        return f"{kind}:{int(value)}"  # type: ignore[call-overload]
+    token = str(value).strip()
+    return token if not token or token.startswith("cursor:") else f"cursor:{token}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,3 +80,53 @@ def check_dlq(dlq: DataFrame) -> DataFrame:
 
 def check_changes(versions: DataFrame) -> DataFrame:
     return _together(violations(versions, "id", {"version_number": F.col("version_number") >= 1, "name_length": F.length("canonical_name") <= 512}), duplicates(versions, "unique_number", ["product_id", "version_number"]))
+
+
+@dataclass(frozen=True)
+class RuleTable:
+    """What rows of a rule table must keep: texts that aren't blank, columns with a pattern, and the key under which validities don't overlap."""
+
+    category: str
+    texts: tuple[str, ...]
+    patterns: dict[str, str]
+    key: tuple[str, ...]
+
+
+_HS, _ANY, _COUNTRY = r"\A([0-9]{2}){1,5}\z", r"\A([A-Z]{2}|\*)\z", r"\A[A-Z]{2}\z"
+#: The rule tables beside the tariff's.
+RULE_TABLES = {
+    "import_restrictions": RuleTable("IMPORT_RESTRICTION", ("description",), {"hs_code": _HS, "origin_country": _ANY}, ("hs_code", "origin_country")),
+    "permit_requirements": RuleTable("PERMIT", ("permit_code", "issuing_agency", "document_type"), {"hs_code": _HS, "origin_country": _ANY}, ("hs_code", "origin_country", "permit_code")),
+    "sanctions_list": RuleTable("SANCTIONS", ("list_entry_id", "primary_name", "program"), {"entity_type": r"\A(INDIVIDUAL|ENTITY|VESSEL|AIRCRAFT)\z"}, ("list_entry_id",)),
+    "export_controls": RuleTable("EXPORT_CONTROL", ("control_code", "licence_type"), {"hs_code": _HS, "destination_country": _ANY}, ("hs_code", "destination_country", "control_code")),
+    "preferential_agreements": RuleTable("PREFERENTIAL_AGREEMENT", ("proof_of_origin",), {"agreement_code": r"\A[A-Z0-9_]+\z", "partner_country": _COUNTRY}, ("agreement_code", "partner_country")),
+}
+
+
+def check_rules(rules: DataFrame, datasets: DataFrame, name: str) -> DataFrame:
+    """Broken rules of a table of RULE_TABLES: blank or missing texts, patterns, range, dataset of the category, overlaps."""
+    t = RULE_TABLES[name]
+    held = {f"{c}_present": F.coalesce(F.length(F.trim(c)), F.lit(0)) > 0 for c in (*t.texts, "source_reference")}
+    held |= {f"{c}_format": F.coalesce(F.col(c).rlike(p), F.lit(False)) for c, p in t.patterns.items()}
+    held |= {"starts": F.col("effective_from").isNotNull(), "range": F.col("effective_to") > F.col("effective_from")}
+    own = datasets.filter(F.col("category") == t.category).select(F.col("id").alias("dataset_id"))
+    strays = rules.join(own, "dataset_id", "left_anti").select(F.lit("dataset_of_category").alias("constraint"), F.col("id").alias("key"))
+    over = overlaps(rules, ["dataset_id", *t.key], "effective_from", "effective_to").select(F.lit("no_overlap").alias("constraint"), F.col("id").alias("key"))
+    return _together(violations(rules, "id", held), strays, over)
+
+
+def check_idempotency(keys: DataFrame) -> DataFrame:
+    c = F.col
+    open_ = (c("status") == "IN_PROGRESS") & c("lease_token").isNotNull() & c("lease_expires_at").isNotNull() & c("completed_at").isNull()
+    done = (c("status") == "COMPLETED") & c("completed_at").isNotNull() & c("lease_token").isNull() & c("lease_expires_at").isNull()
+    return _together(violations(keys, "key", {"state": open_ | done, "hash_length": F.octet_length("payload_hash") == 32, "attempts": c("attempts") >= 1}), duplicates(keys, "unique_key", ["scope", "key"]))
+
+
+def check_runs(runs: DataFrame) -> DataFrame:
+    """States, and one active run for each source."""
+    active = runs.filter(F.col("status").isin("PENDING", "RUNNING"))
+    return _together(violations(runs, "id", {"status": F.col("status").isin("PENDING", "RUNNING", "COMPLETED", "PARTIAL", "FAILED", "CANCELLED")}), duplicates(active, "one_active_run", ["source_id"]))
+
+
+def check_product_changes(changes: DataFrame) -> DataFrame:
+    return _together(violations(changes, "id", {"change_type": F.col("change_type").isin("NEW", "CHANGED")}), duplicates(changes, "unique_to_version", ["to_version_id"]))
