@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import Commits
-from ..session import or_null, scratch, stored, trimmed
+from ..session import or_null, scratch, scratch_table, stored, trimmed
 
 FOUND = "feed string, first_delivery_id long, copy_delivery_id long"
 #: Identifiers a bucket is meant to hold; a compaction that finds four times as many moves to more buckets.
@@ -61,14 +61,14 @@ class BucketStore:
         self._commit(number, state["buckets"], state["runs"] | {run: self._write(own, state["buckets"])})
 
     def _write(self, own: DataFrame, buckets: int) -> str:
-        folder, name = f"run-{uuid.uuid4().hex}", f"tradeloom_{uuid.uuid4().hex}"
+        folder, name = f"run-{uuid.uuid4().hex}", scratch_table(self.spark)
         own.write.format("parquet").bucketBy(buckets, "key").sortBy("key").option("path", f"{self.path}/{folder}").saveAsTable(name)
         self._tables[folder] = name
         return folder
 
     def _read(self, folder: str, buckets: int) -> DataFrame:
         if folder not in self._tables:
-            name = f"tradeloom_{uuid.uuid4().hex}"
+            name = scratch_table(self.spark)
             self.spark.sql(f"CREATE TABLE {name} (key STRING, value BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/{folder}'")
             self._tables[folder] = name
         return self.spark.table(self._tables[folder])

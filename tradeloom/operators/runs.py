@@ -70,7 +70,7 @@ def process_run(records: DataFrame, mapping: FieldMapping, store: SnapshotStore,
 
 def _fold(good: DataFrame, store: SnapshotStore, now: dt.datetime) -> Counter:
     """Classify against the store's state and publish; the number of records of each transition."""
-    spark, at = good.sparkSession, F.lit(now).cast("timestamp_ntz")
+    spark, at = good.sparkSession, F.lit(str(now)).cast("timestamp_ntz")
     for attempt in range(2):
         expected = store.manifest()["id"]
         state = store.read("state")

@@ -93,7 +93,8 @@ def page(df: DataFrame, limit: int = 0, cursor: str | None = None) -> tuple[Data
     n = limit_of(limit, 50, 500)
     if cursor:
         at, row_id = decode_cursor(cursor)
-        df = df.filter((F.col("created_at") < F.lit(at)) | ((F.col("created_at") == F.lit(at)) & (F.col("id") < row_id)))
+        at = F.lit(str(at)).cast(df.schema["created_at"].dataType)
+        df = df.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < row_id)))
     rows = df.orderBy(F.desc("created_at"), F.desc("id")).limit(n + 1)
     ends = rows.select("created_at", "id").collect()  # at most 501 rows
     if len(ends) <= n:

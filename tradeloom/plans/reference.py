@@ -211,6 +211,25 @@ def normalise_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("source_id", F.coalesce("product.error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+_COLLAPSED = r"trim(regexp_replace(regexp_replace(nfc_normalize({0}), '[\x{{200B}}\x{{FEFF}}\x{{200C}}\x{{200D}}]', '', 'g'), '[\t\n\x0B\f\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def _field(path: str) -> str:
+    """SQL for a scalar of a payload as text, numbers without zeros at the end of their fraction."""
+    text = f"json_extract_string(payload, '{path}')"
+    number = f"CASE WHEN contains({text}, '.') THEN regexp_replace({text}, '[.]?0+$', '') ELSE {text} END"
+    return _COLLAPSED.format(f"CASE WHEN json_type(payload, '{path}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN {number} ELSE {text} END")
+
+
+@query(_OUTCOME.replace("SELECT source_id, CASE", "SELECT id, payload, CASE") + f"""SELECT id, {_field('$.title')} AS name, coalesce({_field('$.body')}, '') AS description, coalesce({_field('$.vendor')}, '') AS brand, upper(coalesce({_field('$.country_code')}, '')) AS origin_country,
+ nullif({_field('$.details.color')}, '') AS color, nullif({_field('$.details.size')}, '') AS size FROM o WHERE outcome = 'ok'""")
+def normalise_values(spark: SparkSession, d: str) -> DataFrame:
+    """What the good records are normalised to."""
+    r = textnorm.with_normalised(table(spark, d, "raw_records").select("id", "payload"), MAPPING).filter("product.error is null")
+    a = F.col("product.attributes")
+    return r.select("id", "product.name", "product.description", "product.brand", "product.origin_country", a["color"].alias("color"), a["size"].alias("size"))
+
+
 @query(_OUTCOME + """SELECT source_id, seen, failed, failed / seen AS error_rate, seen >= 20 AND failed / seen > 0.5 AS over_budget FROM (SELECT source_id, count(*) AS seen, count(*) FILTER (outcome <> 'ok') AS failed FROM o GROUP BY source_id)""")
 def error_budget(spark: SparkSession, d: str) -> DataFrame:
     r = textnorm.with_normalised(table(spark, d, "raw_records").select("source_id", "payload"), MAPPING)
@@ -621,6 +640,19 @@ def ndjson_feed(spark: SparkSession, d: str) -> DataFrame:
     return good.select("external_product_id", F.get_json_object("payload", "$.title").alias("canonical_name"))
 
 
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM products)
+SELECT CASE WHEN k = 1 THEN 'malformed: line too long' WHEN ascii(id) % 5 = 0 THEN 'malformed: no object' WHEN ascii(id) % 3 = 0 THEN 'malformed: no id' ELSE 'good' END AS outcome, count(*) AS n FROM p GROUP BY outcome""")
+def ndjson_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """A feed with a line beyond the limit, lines that are no object, lines without identity, and blank lines, which are neither good nor bad."""
+    path = scratch(spark, "feed-rejects")
+    p, first = table(spark, d, "products").select("id"), table(spark, d, "products").agg(F.min("id")).first()[0]
+    code = F.ascii("id")
+    line = F.when(F.col("id") == first, F.concat(F.lit('{"id":"'), F.repeat(F.lit("x"), F.lit(feeds.MAX_LINE)), F.lit('"}'))).when(code % 5 == 0, "[1]").when(code % 3 == 0, '{"id":" "}').otherwise(F.concat(F.lit('{"id":"'), "id", F.lit('"}')))
+    p.select(F.concat(line, F.lit("\n  \r\n"))).write.text(path)
+    rows = feeds.identities(feeds.read_ndjson(spark, path))
+    return rows.groupBy(F.coalesce("error", F.lit("good")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT hs_code, origin_country, min(effective_from) AS effective_from, max(effective_to) AS effective_to FROM tariff_rates GROUP BY hs_code, origin_country HAVING max(effective_to) IS NULL OR max(effective_to) > min(effective_from)")
 def curated_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules written as a curated file, and loaded by its strict scan."""
@@ -664,7 +696,8 @@ def stream_periods(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "raw_records").select("id", "source_id", "source_updated_at", "received_at")
     path, checkpoint = scratch(spark, "log"), scratch(spark, "log-checkpoint")
     run_at = dt.datetime(2026, 4, 1)
-    for part in (r.filter(F.col("received_at") < F.lit(run_at)), r.filter(F.col("received_at") >= F.lit(run_at))):
+    early = F.col("received_at") < F.lit(str(run_at)).cast("timestamp_ntz")
+    for part in (r.filter(early), r.filter(~early)):
         part.write.mode("append").parquet(path)
         stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(path)
         stream.writeStream.foreachBatch(views.on_micro_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

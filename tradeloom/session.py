@@ -59,6 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: dict[str, SparkSession] = {}
+_named: dict[str, SparkSession] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -69,8 +70,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession) -> str:
+    """A name for a table of the catalogue that goes with the scratch tables."""
+    name = f"tradeloom_{uuid.uuid4().hex}"
+    _named[name] = spark
+    return name
+
+
 def clear_scratch() -> None:
     """Delete all scratch tables this process has made; frames that read them can't be used any more."""
+    while _named:
+        name, spark = _named.popitem()
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         path, spark = _made.popitem()
         if spark.sparkContext._jsc is not None:
