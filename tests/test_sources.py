@@ -8,7 +8,8 @@ from urllib.parse import parse_qsl, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.session import scratch, shared_dir
+from tradeloom.files import Commits
+from tradeloom.session import broadcast_up_to, scratch, shared_dir, stored
 from tradeloom.sources import feeds
 from tradeloom.sources.numbered import transport
 from tradeloom.sources.rest import SourceError, TokenBucket, check_status, http, next_link, pages, probe, records_of, sync
@@ -156,3 +157,20 @@ def test_core_never_imports_llm():
 
 def test_shared_dir_is_the_sessions(spark):
     assert scratch(spark, "x").startswith(shared_dir(spark)) and scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_broadcast_is_by_rows_and_bytes(spark):
+    hinted = lambda df: "BroadcastExchange" in spark.range(5).join(df, "id")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = stored(spark.range(100).withColumn("t", F.repeat(F.lit("x"), F.lit(1000))).withColumn("a", F.array(F.lit("y"), F.lit(None))), "hundred")
+        assert hinted(broadcast_up_to(rows, 100)) and not hinted(broadcast_up_to(rows, 99)) and not hinted(broadcast_up_to(rows, 100, 90_000))
+        assert hinted(broadcast_up_to(rows.limit(0), 0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_commit_is_made_once(spark, tmp_path):
+    a, b = Commits(spark, str(tmp_path)), Commits(spark, f"file://{tmp_path}")
+    assert a.last() == (0, {}) and a.make(1, {"x": "é"}) and not b.make(1, {"x": 2}) and b.last() == (1, {"x": "é"})
+    assert b.make(2, {}) and a.last()[0] == 2

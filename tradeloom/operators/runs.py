@@ -39,6 +39,16 @@ class RunResult:
     over_budget: bool
 
 
+def accepted(records: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """records with `refused`: null, or why a record may not be stored: NO_SOURCE, SOURCE_DISABLED (sources: id, enabled) or NO_RUN (runs: id, source_id; a record
+    without run needs none). Sources and runs are looked up by distinct id, so repeated ones don't repeat records."""
+    s = sources.groupBy(F.col("id").alias("_source")).agg(F.bool_or("enabled").alias("_enabled"))
+    r = runs.select(F.col("id").alias("_run"), F.col("source_id").alias("_run_source")).distinct().withColumn("_has_run", F.lit(True))
+    j = records.join(s, F.col("source_id") == F.col("_source"), "left").join(r, (F.col("ingestion_run_id") == F.col("_run")) & (F.col("source_id") == F.col("_run_source")), "left")
+    why = F.when(F.col("_source").isNull(), "NO_SOURCE").when(~F.coalesce("_enabled", F.lit(False)), "SOURCE_DISABLED").when(F.col("ingestion_run_id").isNotNull() & F.col("_has_run").isNull(), "NO_RUN")
+    return j.withColumn("refused", why).select(*records.columns, "refused")
+
+
 def process_run(records: DataFrame, mapping: FieldMapping, store: SnapshotStore, max_error_rate: float = 0.5, min_rows: int = 100, now: dt.datetime | None = None, page_size: int | None = None) -> RunResult:
     """Fold records (IDENTITY, id, payload, source_updated_at, received_at, perhaps payload_raw) into the store's tables: products, product_sources and the
     fold's state are replaced for the identities touched; product_versions, product_changes and outbox_events are added to.

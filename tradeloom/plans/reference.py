@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, textnorm
-from ..operators import changes, constraints, rules, tables
+from ..operators import changes, constraints, rules, runs, tables
 from ..session import scratch, table
 from ..sources import feeds
 from ..sources.rest import RestSource
@@ -670,6 +670,17 @@ def rest_pages(spark: SparkSession, d: str) -> DataFrame:
     return feeds.identities(pages).select("external_product_id", F.get_json_object("payload", "$.title").alias("title"), F.get_json_object("payload", "$.n").cast("long").alias("n"))
 
 
+@query("""WITH s AS (SELECT DISTINCT source_id AS id, ascii(right(source_id, 1)) % 4 <> 0 AS enabled FROM products WHERE source_id <> 'src-harbourline'), r AS (SELECT DISTINCT ingestion_run_id AS id, source_id FROM raw_records WHERE ingestion_run_id < 'c')
+SELECT CASE WHEN s.id IS NULL THEN 'NO_SOURCE' WHEN NOT s.enabled THEN 'SOURCE_DISABLED' WHEN x.ingestion_run_id IS NOT NULL AND r.id IS NULL THEN 'NO_RUN' ELSE 'STORED' END AS outcome, count(*) AS n
+FROM raw_records x LEFT JOIN s ON s.id = x.source_id LEFT JOIN r ON r.id = x.ingestion_run_id AND r.source_id = x.source_id GROUP BY outcome""")
+def raw_accepts(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose source is known and enabled and whose run exists; one source is made unknown here, others disabled, runs left out."""
+    raw = table(spark, d, "raw_records").select("id", "source_id", "ingestion_run_id")
+    sources = table(spark, d, "products").filter("source_id <> 'src-harbourline'").select(F.col("source_id").alias("id"), (F.ascii(F.right("source_id", F.lit(1))) % 4 != 0).alias("enabled")).distinct()
+    known = raw.filter("ingestion_run_id < 'c'").select(F.col("ingestion_run_id").alias("id"), "source_id")
+    return runs.accepted(raw, sources, known).groupBy(F.coalesce("refused", F.lit("STORED")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT id, coalesce(nullif(trim(source_version), ''), nullif(trim(etag), '')) AS version FROM raw_records")
 def record_metadata(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "raw_records").select("id", F.to_json(F.struct(F.col("source_version").alias("version"), "etag")).alias("payload"))

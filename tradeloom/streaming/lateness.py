@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import Commits
-from ..session import broadcast_up_to, scratch
+from ..session import broadcast_up_to, scratch, stored
 
 #: The fixed values of the catalogue feed: periods are UTC days, records correct them for 72 hours after their end.
 LATENESS_HOURS = 72
@@ -201,6 +201,7 @@ class LambdaViews:
         slices = fast.join(view, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("period") == F.col("_period")), "left")
         closed, frozen = F.coalesce("_closed", "closed_through"), F.coalesce("_frozen", "frozen_through")
         status = F.when(closed.isNull() | (F.col("batch") <= closed), "provisional").when(frozen.isNull() | (F.col("batch") <= frozen), "corrects").otherwise("too_late")
-        slices = broadcast_up_to(slices.select(F.col("grp").alias("_grp"), F.col("period").alias("_period"), F.col("batch").alias("_batch"), status.alias("status")), BROADCAST_ROWS)
+        slices = slices.select(F.col("grp").alias("_grp"), F.col("period").alias("_period"), F.col("batch").alias("_batch"), status.alias("status"))
+        slices = broadcast_up_to(stored(slices, "slices"), BROADCAST_ROWS)
         same = F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("period") == F.col("_period")) & (F.col("batch") == F.col("_batch")) & (F.col("arrival") < self._cut_off())
         return self.log().join(slices, same, "left").select(F.col("record").alias("raw_record_id"), F.coalesce("status", F.lit("too_late")).alias("verdict"))
